@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, separators
+from . import exact, langid, mixing, neighbours, packing, separators, warc
 from .common import Query, Scratch, table_of
 
 
@@ -19,6 +19,16 @@ def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.tie(separators.count_tokens(table_of(spark, sf_dir, "documents"), s.path("flat")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table_of(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Scratch(spark)
+    return s.tie(neighbours.search(table_of(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, s))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark)
     return s.tie(exact.dedup(table_of(spark, sf_dir, "documents"), s).drop("uid"))
@@ -30,6 +40,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.tie(out.select("doc_id", "text", "lang", "source", "n_chars", "copy", "mix_key"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Scratch(spark)
+    path = s.path("warc")
+    warc.write(table_of(spark, sf_dir, "pages"), path, s)
+    return s.tie(warc.read(spark, path).drop("payload", "url"))
+
+
 OP6 = r"""
 WITH t AS (SELECT doc_id, coalesce(length(text), 0) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -49,9 +66,20 @@ FROM k, LATERAL (SELECT unnest(range(1, k.k + 1)) AS copy) AS c
 """
 
 
+OP8 = r"""
+WITH t AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+m AS (SELECT page_id, octet_length(raw) AS payload_bytes, sha1(raw) AS payload_digest,
+             max(page_id) OVER (PARTITION BY raw) AS last FROM t)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM m
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_separator_scan": op2_separator_scan, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing}
+    return {"op1_packing": op1_packing, "op2_separator_scan": op2_separator_scan, "op3_language_id": op3_language_id, "op4_permutation_index": op4_permutation_index, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6, "op7_mixing": OP7}
+    return {"op6_exact_dedup": OP6, "op7_mixing": OP7, "op8_warc": OP8}
