@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, neighbours, packing, separators, warc
+from . import exact, jaccard, langid, mixing, neighbours, packing, separators, warc
 from .common import Query, Scratch, table_of
 
 
@@ -47,6 +47,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.tie(warc.read(spark, path).drop("payload", "url"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Scratch(spark)
+    return s.tie(jaccard.join(table_of(spark, sf_dir, "documents"), s))
+
+
 OP6 = r"""
 WITH t AS (SELECT doc_id, coalesce(length(text), 0) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -78,7 +83,7 @@ FROM m
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_separator_scan": op2_separator_scan, "op3_language_id": op3_language_id, "op4_permutation_index": op4_permutation_index, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc}
+    return {"op1_packing": op1_packing, "op2_separator_scan": op2_separator_scan, "op3_language_id": op3_language_id, "op4_permutation_index": op4_permutation_index, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_jaccard_join": op9_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
