@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, langid, mixing, neighbours, packing, separators, warc
+from . import exact, jaccard, langid, mixing, neighbours, packing, separators, substrings, warc
 from .common import Query, Scratch, table_of
 
 
@@ -29,6 +29,11 @@ def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.tie(neighbours.search(table_of(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, s))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Scratch(spark)
+    return s.tie(substrings.digests(table_of(spark, sf_dir, "documents"), s))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark)
     return s.tie(exact.dedup(table_of(spark, sf_dir, "documents"), s).drop("uid"))
@@ -83,7 +88,7 @@ FROM m
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_separator_scan": op2_separator_scan, "op3_language_id": op3_language_id, "op4_permutation_index": op4_permutation_index, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_jaccard_join": op9_jaccard_join}
+    return {"op1_packing": op1_packing, "op2_separator_scan": op2_separator_scan, "op3_language_id": op3_language_id, "op4_permutation_index": op4_permutation_index, "op5_substring_dedup": op5_substring_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_jaccard_join": op9_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
