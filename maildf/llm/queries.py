@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, langid, mixing, neighbours, packing, separators, substrings, warc
+from . import exact, jaccard, langid, licences, mixing, neighbours, packing, separators, substrings, warc
 from .common import Query, Scratch, table_of
 
 
@@ -57,6 +57,22 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.tie(jaccard.join(table_of(spark, sf_dir, "documents"), s))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table_of(spark, sf_dir, "documents"))
+
+
+#: Every window of words as a row: for small tables only.
+OP5 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT DISTINCT doc_id, i + d AS j FROM (SELECT doc_id, i, unnest(range(0, 35)) AS d FROM r)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 OP6 = r"""
 WITH t AS (SELECT doc_id, coalesce(length(text), 0) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -88,8 +104,8 @@ FROM m
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_separator_scan": op2_separator_scan, "op3_language_id": op3_language_id, "op4_permutation_index": op4_permutation_index, "op5_substring_dedup": op5_substring_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_jaccard_join": op9_jaccard_join}
+    return {"op1_packing": op1_packing, "op2_separator_scan": op2_separator_scan, "op3_language_id": op3_language_id, "op4_permutation_index": op4_permutation_index, "op5_substring_dedup": op5_substring_dedup, "op6_exact_dedup": op6_exact_dedup, "op7_mixing": op7_mixing, "op8_warc": op8_warc, "op9_jaccard_join": op9_jaccard_join, "op10_licence_scan": op10_licence_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6, "op7_mixing": OP7, "op8_warc": OP8}
+    return {"op5_substring_dedup": OP5, "op6_exact_dedup": OP6, "op7_mixing": OP7, "op8_warc": OP8, "op10_licence_scan": licences.oracle()}
