@@ -54,7 +54,7 @@ def split_lines(lines: Iterable[bytes]) -> Iterator[tuple[int, str, bytes]]:
 def split_mbox(data: bytes) -> Iterator[tuple[int, str, bytes]]:
     """Messages of a whole mbox."""
     starts = [m.start() for m in re.finditer(rb"^From ", data, re.M)]
-    for a, b in zip(starts, [*starts[1:], len(data)], strict=True):
+    for a, b in zip(starts, [*starts, len(data)][1:], strict=True):
         end = data.find(b"\n", a, b)
         head, body = (data[a:b], b"") if end < 0 else (data[a : end + 1], data[end + 1 : b])
         yield *envelope(head), re.sub(rb"^>(>*From )", rb"\1", body, flags=re.M)
