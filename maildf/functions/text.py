@@ -84,8 +84,9 @@ def header_value_of(text: Column | str, form: str) -> Column:
 
     @F.pandas_udf(schema.VALUE)
     def run(texts: pd.Series) -> pd.DataFrame:
+        names = [f.name for f in schema.VALUE.fields]
         rows = [_value(read(x.encode() if x.endswith("\n") else x.encode() + b"\n", 0)[0]) if x is not None else {} for x in texts]
-        return pd.DataFrame(rows, columns=[f.name for f in schema.VALUE.fields], dtype=object)
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
     return run(text)
 

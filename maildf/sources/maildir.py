@@ -94,9 +94,13 @@ def read_maildir(spark: SparkSession, path: str, prefix: str | None = ".") -> Da
 
     Directories are listed through Hadoop on the driver; the messages are read by Spark. Files whose
     names begin with "_" are hidden from Spark's readers; the data source ``maildir`` reads them too.
+    A mounted file system is read by that data source, as Hadoop's own can't open names with colons.
     """
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() == "file":
+        spark.dataSource.register(MaildirDataSource)
+        return spark.read.format("maildir").option("layout", "fs" if prefix is None else "maildir++").load(path)
     found: list[tuple[str | None, str]] = []
 
     def walk(top, names: list[str]) -> None:

@@ -1,0 +1,373 @@
+"""The kernel on small cases; stored goldens, where MAILDF_GOLDENS names a folder of them; random bytes."""
+
+from __future__ import annotations
+
+import datetime as dt
+import glob
+import json
+import os
+import random
+import re
+
+import pytest
+
+from maildf.kernel import charsets, dates, decoders, fields, golden, html, mailbox, mime, threads, words
+from maildf.parse import flatten
+
+
+def value(form, text):
+    return mime.FORMS[form](text.encode() if isinstance(text, str) else text, 0)[0]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (" Plain subject\r\n", "Plain subject"),
+        (" folded\r\n\tover  lines \n", "folded over  lines"),
+        ("=?utf-8?q?a=20b?= =?utf-8?b?Y2Q=?=\n", "a bcd"),
+        ("x =?iso-8859-1?Q?=E9t=E9?= y\n", "x été y"),
+        ("mid=?utf-8?q?dle?=\n", "mid dle"),
+        ("=?utf-8?x?bad?=\n", "=?utf-8?x?bad?="),
+        ("=?u?q?short_label?=\n", "=?u?q?short_label?="),
+        ("=?utf-8?b?QUJD\n REVG?=\n", "ABCDEF"),
+        ("=?utf-8?q?4=zz?=\n", "=?utf-8?q?4=zz?="),
+        ("=?utf-8*en?q?a_b?=\n", "a b"),
+    ],
+)
+def test_unstructured(text, want):
+    assert value("text", text) == ("Text", want)
+
+
+def test_fields_without_a_newline():
+    for form in ("text", "id", "list", "content_type"):
+        assert value(form, "abc") == fields.EMPTY
+    assert value("raw", " abc") == ("Text", "abc")
+    assert value("date", "1 Jan 2001 00:00:00 +0000")[0] == "DateTime"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("<a@b>\n", ("Text", "a@b")),
+        ("<a@b> <c@d>\r\n <e@f>\n", ("TextList", ["a@b", "c@d", "e@f"])),
+        ("bare-id\n", ("Text", "bare-id")),
+        ("<>\n", fields.EMPTY),
+        ("\n", fields.EMPTY),
+    ],
+)
+def test_ids(text, want):
+    assert value("id", text) == want
+
+
+def test_comma_list():
+    assert value("list", "a, b c ,\n =?utf-8?q?d=2Ce?= f\n") == ("TextList", ["a", "b c", "d,e f"])
+    assert value("list", "one\n") == ("Text", "one")
+    assert value("list", ",\n") == fields.EMPTY
+
+
+def plain(*pairs):
+    return "Address", {"List": [{"name": n, "address": a} for n, a in pairs]}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Joe Doe <joe@x.org>\n", plain(("Joe Doe", "joe@x.org"))),
+        ("joe@x.org, <ann@y.org>\r\n", plain((None, "joe@x.org"), (None, "ann@y.org"))),
+        ('"Doe, Joe \\"J\\"" <joe@x.org>\n', plain(('Doe, Joe "J"', "joe@x.org"))),
+        ("joe@x.org (Joe (the) Doe)\n", plain(("Joe (the) Doe", "joe@x.org"))),
+        ("Joe <joe@x.org> (home)\n", plain(("Joe (home)", "joe@x.org"))),
+        ("Only Name\n", plain(("Only Name", None))),
+        ("name (note)\n", plain(("note", "name"))),
+        ("=?utf-8?q?J=C3=B6?= =?utf-8?q?rg?= <j@x>\n", plain(("Jörg", "j@x"))),
+        ("A\n B <a@\n b>\n", plain(("A B", "a@b"))),
+        ("\n", fields.EMPTY),
+        ("Team: a@x, B <b@x>;\n", ("Address", {"Group": [{"name": "Team", "addresses": [{"name": None, "address": "a@x"}, {"name": "B", "address": "b@x"}]}]})),
+        ("z@x, Team: a@x;\n", ("Address", {"Group": [{"name": None, "addresses": [{"name": None, "address": "z@x"}]}, {"name": "Team", "addresses": [{"name": None, "address": "a@x"}]}]})),
+        ("Undisclosed: ;\n", ("Address", {"Group": [{"name": "Undisclosed", "addresses": []}]})),
+    ],
+)
+def test_addresses(text, want):
+    assert value("address", text) == want
+
+
+def test_content_types():
+    def ct(text):
+        kind, x = value("content_type", text)
+        return (x["c_type"], x["c_subtype"], [(a["name"], a["value"]) for a in x["attributes"] or ()]) if kind == "ContentType" else None
+
+    assert ct("TEXT/Plain; CharSet=UTF-8\n") == ("text", "plain", [("charset", "UTF-8")])
+    assert ct('multipart/mixed;\r\n boundary="a b;c"\n') == ("multipart", "mixed", [("boundary", "a b;c")])
+    assert ct("attachment; filename*=utf-8'de'%C3%A4.txt\n") == ("attachment", None, [("filename-language", "de"), ("filename", "ä.txt")])
+    assert ct("a/b; n*1=two; n*0=one-; m=x\n") == ("a", "b", [("n", "one-two"), ("m", "x")])
+    assert ct('a/b; n="q\\"uo\\\\te"\n') == ("a", "b", [("n", 'q"uo\\te')])
+    assert ct("a/b (note); n=v (more)\n") == ("a", "b", [("n", "v")])
+    assert ct('a/b; n="=?utf-8?q?=C3=A4?="\n') == ("a", "b", [("n", "ä")])
+    assert ct('a/b; n="two\r\n lines"\n') == ("a", "b", [("n", "two lines")])
+    assert ct("; a=b\n") is None
+
+
+def test_dates_against_datetime():
+    rng = random.Random(1)
+    for _ in range(500):
+        zone = rng.randrange(-14 * 60, 14 * 60)
+        when = dt.datetime(rng.randrange(1950, 2100), rng.randrange(1, 13), rng.randrange(1, 29), rng.randrange(24), rng.randrange(60), rng.randrange(60), tzinfo=dt.timezone(dt.timedelta(minutes=zone)))
+        for text in (when.strftime("%a, %d %b %Y %H:%M:%S %z"), when.strftime("%d %b %Y %H:%M:%S %z (note (nested))")):
+            d = dates.parse_rfc822(text + "\n")
+            assert dates.timestamp(d) == int(when.timestamp()) and dates.is_valid(d)
+        assert dates.timestamp(dates.parse_rfc3339(when.isoformat())) == int(when.timestamp())
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("1 Jul 2003 10:52:37 EST\n", (2003, 7, 1, 10, 52, 37, True, 5, 0)),
+        ("1 07 99 1:2:3 XYZ\n", (1999, 7, 1, 1, 2, 3, False, 0, 0)),
+        ("1 July 2003 10:52:37 +0000\n", None),
+        ("1 Jul 2003\n", None),
+        ("", None),
+    ],
+)
+def test_odd_dates(text, want):
+    d = dates.parse_rfc822(text)
+    assert (d and tuple(d.values())) == want
+
+
+def test_a_zone_letter_at_the_end_of_a_line_pulls_in_the_next():
+    m = mime.parse(b"Date: 1 Jul 2003 10:52:37 UT\nSubject: lost\nTo: a@b\n\n")
+    assert [h.name for h in m.parts[0].headers] == ["Date", "To"]
+
+
+def test_received():
+    from maildf.kernel.received import parse_received
+
+    r = parse_received(b" from a.example (EHLO h.example [IPv6:x]) ([10.1.2.3]) by b.example (v1) with ESMTPSA\r\n (version=TLSv1.2 cipher=ECDHE-RSA-AES256-SHA384 bits=256)\r\n id abc.1 for <u@c.example>; Tue, 2 Jan 2001 03:04:05 -0700\r\n")
+    assert (r["from"], r["by"]) == ({"Name": "a.example"}, {"Name": "b.example"})
+    assert (r["with"], r["tls_version"], r["tls_cipher"], r["id"], r["for_"]) == ("ESMTPSA", "TLSv1_2", "ECDHE-RSA-AES256-SHA384", "abc.1", "u@c.example")
+    assert (r["helo_cmd"], r["helo"], r["from_ip"]) == ("Ehlo", {"Name": "h.example"}, "10.1.2.3")
+    assert dates.timestamp(r["date"]) == 978429845
+    assert parse_received(b" from [2001:db8::1] by x; 1 Jan 70 00:00:00\n")["from"] == {"IpAddr": "2001:db8::1"}
+    assert parse_received(b" nothing here\n") is None
+    for word, want in (("smtpd", "SMTP"), ("local-esmtp", "ESMTP"), ("utf8smtpsa", "UTF8SMTPSA"), ("stdin", "Local"), ("HTTP", "HTTP")):
+        assert parse_received(f" by x with {word}\n".encode())["with"] == want
+    for word, want in (("TLS1_2", "TLSv1_2"), ("TLSv1", "TLSv1_0"), ("SSLv3", "SSLv3"), ("DTLSv1.2", "DTLSv1_2")):
+        assert parse_received(f" by x ({word})\n".encode())["tls_version"] == want
+
+
+def test_structure():
+    raw = b"""From: a@b
+Content-Type: multipart/mixed; boundary=o
+
+--o
+Content-Type: multipart/alternative; boundary=i
+
+--i
+Content-Type: text/html
+
+<p>only html</p>
+--i--
+--o
+Content-Type: message/rfc822
+
+Subject: inner
+
+inner body
+--o
+Content-Type: text/plain; name=x.txt
+Content-Transfer-Encoding: base64
+
+QQ==
+--o
+Content-Type: image/png
+Content-Transfer-Encoding: base64
+
+not*base64
+--o--
+"""
+    m = mime.parse(raw)
+    assert [p.kind for p in m.parts] == ["multipart", "multipart", "html", "message", "text", "text"]
+    assert (m.html_body, m.text_body, m.attachments) == ([2], [2], [3, 4, 5])
+    assert m.parts[3].body.parts[0].body == "inner body" and m.parts[4].body == "A"
+    assert m.parts[5].problem and m.parts[5].body == "not*base64"
+    flat = flatten(m)
+    assert [(p["msg_path"], p["part_id"]) for p in flat["parts"]] == [([], i) for i in range(6)] + [([3], 0)]
+    assert mime.parse(b"") is None and mime.parse(b" \t") is None and len(mime.parse(b"\n\n").parts) == 1
+    only = mime.parse(raw, headers_only=True)
+    assert len(only.parts) == 1 and only.parts[0].body == "" and only.parts[0].problem
+
+
+def test_encoded_nesting_is_bounded():
+    import base64
+
+    body = b"Subject: core\n\nx"
+    for _ in range(6):
+        body = b"Content-Type: message/rfc822\nContent-Transfer-Encoding: base64\n\n" + base64.b64encode(body)
+    m, depth = mime.parse(body), 0
+    while m.parts[0].kind == "message":
+        m, depth = m.parts[0].body, depth + 1
+    assert depth == 3 and m.parts[0].kind == "binary" and m.parts[0].problem
+
+
+def test_deep_nesting():
+    raw = b"".join(b"Content-Type: multipart/mixed; boundary=b%d\n\n--b%d\n" % (i, i) for i in range(1500)) + b"\nx"
+    assert len(flatten(mime.parse(raw))["parts"]) > 1000
+    assert flatten(mime.parse(b"Content-Type: message/rfc822\n\n" * 3000)) is not None
+
+
+def test_last_header_wins_and_spaces_in_names():
+    m = mime.parse(b"Subject: one\nSub ject : two\nX-Odd: v\nno colon here\n\n")
+    assert [h.name for h in m.parts[0].headers] == ["Subject", "Subject", "X-Odd"]
+    assert m.parts[0].header("subject") == ("Text", "two")
+
+
+@pytest.mark.parametrize(
+    ("data", "want"),
+    [(b"QUJD", b"ABC"), (b"QUI=", b"AB"), (b"QUI=QUI=", b"ABAB"), (b"QUJDRA", b"ABC"), (b"QU JD\r\n", b"ABC"), (b"Q*", None), (b"", b""), (b"Q=", b"@")],
+)
+def test_base64(data, want):
+    assert decoders.base64_decode(data) == want
+
+
+@pytest.mark.parametrize(
+    ("data", "strict", "lenient"),
+    [
+        (b"a=20=\nb  \nc", b"a b\nc", b"a b\nc"),
+        (b"a=\r\nb\r\n", b"ab\r\n", b"ab\r\n"),
+        (b"x=zz", None, b"x=zz"),
+        (b"x=4z", None, b"x=4z"),
+        (b"x==41", None, None),
+        (b"= 41", b"A", b"A"),
+    ],
+)
+def test_quoted_printable(data, strict, lenient):
+    assert decoders.quoted_printable_decode(data) == strict
+    assert decoders.quoted_printable_body(data, False) == lenient
+
+
+def test_quoted_printable_before_a_boundary():
+    part = b"Content-Type: multipart/x; boundary=b\n\n--b\nContent-Transfer-Encoding: quoted-printable\n\n"
+    for body, want in ((b"h=C3=B6\n--b--", "hö"), (b"first=AZ second\n--b--", "first=AZ second"), (b"x\n--\n--b", "x\n--"), (b"a \r\n\r\n--b\n", "a\r\n"), (b"no newline--b--", "no newline")):
+        assert mime.parse(part + body).parts[1].body == want
+
+
+def test_percent():
+    assert decoders.percent_decode(b"a%20b+c") == (True, b"a b+c")
+    assert decoders.percent_decode(b"ok%zz") == (False, b"ok")
+
+
+@pytest.mark.parametrize(
+    ("label", "data", "want"),
+    [
+        (b"ISO-8859-1", b"\x80\xe9", "€é"),
+        (b"us-ascii", b"\x99", "™"),
+        (b"koi8-r", b"\xf0\xd2", "Пр"),
+        (b"windows-1251", b"\xcf", "П"),
+        (b"latin_9", b"\xa4", "€"),
+        (b"iso-8859-16", b"\xa5\xab", "«„"),
+        (b"utf-16", b"\xfe\xff\x00A\xd8\x00", "A�"),
+        (b"utf-16le", b"A\x00B", "A"),
+        (b"utf-7", b"1 +- 2 +AOk-", "1 +- 2 é"),
+        (b"shift_jis", b"\x83n", "ハ"),
+        (b"gb2312", b"\xc4\xe3", "你"),
+        (b"x-user-defined", b"a\x80", "a\uf780"),
+        (b"iso-2022-kr", b"abc", "�"),
+        (b"utf-8", b"\xc3\xa9\xff", "é�"),
+        (b"no-such-label", b"\xc3\xa9", "é"),
+    ],
+)
+def test_charsets(label, data, want):
+    assert charsets.decode(data, label) == want
+
+
+def test_charset_labels():
+    assert len(charsets.LABELS) == 252
+    for label in (b"L9", b"Korean", b"csISOLatin2", b"ISO_8859-5:1988", b"windows-1258", b"x-cp1250"):
+        assert charsets.decoder(label)
+    assert charsets.decoder(b"utf-8") is None and charsets.decoder(b"latin9") is None
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>one</p><p>two <b>bold</b> x</p>", "one\ntwo bold x\n"),
+        ("<b>Hello</b> world", "Helloworld"),
+        ("a<br/>b<BR>c", "a\nb\nc"),
+        ("<head><title>t</title></head>body", "body"),
+        ('x <script type="a">seen</script>', "x seen"),
+        ("<script>var t='</p>'</script>y", "\ny"),
+        ("a &lt;b&gt; &copy; &#65;&#x42; &nosuch; &amp", "a <b> © AB &nosuch; &amp"),
+        ("a<!-- <b> -- > -->b<!--->c-->d", "abd"),
+        ("  many \n\t spaces  ", "many spaces"),
+        ("&fjlig;&#xFFFFFF;", "f�"),
+    ],
+)
+def test_html_to_text(page, want):
+    assert html.html_to_text(page) == want
+
+
+def test_previews():
+    assert html.text_to_html("a<b\r\nc") == "<html><body>a&lt;b<br/>c</body></html>"
+    assert [html.preview_text("éééééé", n) for n in (12, 11, 7, 5)] == ["éééééé", "éééé...", "éé...", "éé"]
+    assert html.truncate_html("<p>hello</p><p>world</p>", 16) == "<p>hello</p>..."
+    assert html.truncate_html("plain text that is long", 10) == "plain t..."
+    assert html.preview_html("<p>hello world</p>", 8) == "hello..."
+
+
+@pytest.mark.parametrize(
+    ("subject", "want"),
+    [
+        ("Re: topic", "topic"),
+        ("AW: Fwd[2]: topic (fwd)", "topic"),
+        ("[list] Re: topic", "topic"),
+        ("[fwd: re: topic]", "topic"),
+        ("about: topic", "about: topic"),
+        ("topic [x]", "topic [x]"),
+        ("re:", ""),
+        ("a very long first word indeed: topic", "a very long first word indeed: topic"),
+        ("回复: 转发: 主题", "主题"),
+    ],
+)
+def test_thread_names(subject, want):
+    assert threads.thread_name(subject) == want
+
+
+def test_mailboxes():
+    box = b"junk\nFrom a@b Sat Jan  3 01:05:34 1996\nS: 1\n\n>From x\n>>From y\n> From z\nFrom c@d nonsense\nlast"
+    want = [(820631134, "a@b", b"S: 1\n\nFrom x\n>From y\n> From z\n"), (0, "c@d", b"last")]
+    assert list(mailbox.split_mbox(box)) == want == list(mailbox.split_lines(box.splitlines(keepends=True)))
+    assert list(mailbox.split_mbox(b"")) == [] == list(mailbox.split_mbox(b"no mail"))
+    assert mailbox.maildir_flags("1.host:2,FaS!T") == ["Flagged", "Seen"] and mailbox.maildir_flags("1.host") == []
+
+
+ALPHABET = b"0123456789abcdefghijklm:=- \r\n"
+SNIPPETS = [b"--b", b"--b--", b"Content-Type: multipart/mixed; boundary=b", b"Content-Type: message/rfc822", b"Content-Transfer-Encoding: base64", b"\n", b"\r\n", b"\n\n", b"From: a <b@c>", b"=?utf-8?q?=41?=", b"(", b")", b'"', b"<", b">", b";", b"\\", b"*", b"'", b"%4", b"\xff", b"Received: from a by b; 1 Jan 2000 00:00:00 Z"]
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_random_bytes_never_raise(seed):
+    rng = random.Random(seed)
+    kinds = (lambda: bytes(rng.randrange(256) for _ in range(200)), lambda: bytes(rng.choice(ALPHABET) for _ in range(300)), lambda: b"".join(rng.choice(SNIPPETS) for _ in range(50)))
+    for make in kinds:
+        data = make()
+        m = mime.parse(data)
+        flatten(m)
+        for form in mime.FORMS.values():
+            form(data, 0)
+        text = data.decode("utf-8", "replace")
+        html.html_to_text(text), html.truncate_html(text, 20), threads.thread_name(text), words.encoded_word(b"=?" + data, 0)
+        decoders.base64_decode(data), decoders.quoted_printable_decode(data), charsets.utf7(data), list(mailbox.split_mbox(data))
+
+
+@pytest.mark.skipif(not os.environ.get("MAILDF_GOLDENS"), reason="MAILDF_GOLDENS is not set")
+def test_goldens():
+    """Messages NNN.eml with their JSON, NNN.json without carriage returns and NNN.crlf.json with them."""
+    seen = 0
+    for name in glob.glob(f"{os.environ['MAILDF_GOLDENS']}/**/*.eml", recursive=True):
+        with open(name, "rb") as f:
+            raw = f.read()
+        for suffix, data in ((".json", raw.replace(b"\r", b"")), (".crlf.json", re.sub(rb"(?<!\r)\n", b"\r\n", raw))):
+            if os.path.exists(name[:-4] + suffix):
+                with open(name[:-4] + suffix) as f:
+                    assert golden.message(mime.parse(data)) == json.load(f), name
+                seen += 1
+    assert seen
