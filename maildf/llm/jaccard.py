@@ -5,7 +5,7 @@
 2. Classes are shuffled on their band hashes. Within a bucket, leaders stand for their surroundings:
    a member is compared to the leaders, by short signatures, instead of to every other member. Batches
    do the same before the shuffle, so a bucket receives few rows from each batch however many copies
-   there are. The result is a sparse graph whose components hold every candidate pair.
+   there are. Of the edges found together only a spanning forest goes on. The result is a sparse graph whose components hold every candidate pair.
 3. The members of a component meet in blocks and every pair of a block is verified on the full n-gram
    sets. A block gives counts of links and a spanning forest of its links, never the pairs.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, components, lookup, mix, runs, slices, word_hashes
 
-BLOCK = 1024
+BLOCK = 512
 
 
 def choose_bands(threshold: float, recall: float = 0.9999, hashes: int = 128) -> tuple[int, int]:
@@ -116,6 +116,25 @@ def lead(signatures: np.ndarray, near: float, wide: float) -> tuple[list[int], l
     return leaders, edges
 
 
+def forest(edges: Iterable[tuple]) -> list[tuple]:
+    """A spanning forest of an edge list: each node but the least of its component, with that least node."""
+    root: dict = {}
+
+    def find(x):
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(root) if find(x) != x]
+
+
 def _spans(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """A sorted partition in tables that end where a run of ``key`` ends, with the runs' bounds."""
     held: list[pa.Table] = []
@@ -164,7 +183,7 @@ def candidate_edges(classes: DataFrame, near: float, wide: float) -> DataFrame:
                 kept = pa.array(np.flatnonzero(~gone))
                 yield pa.record_batch([pa.array(band).take(kept), digest.take(kept), pa.nulls(len(kept), pa.binary()), signature.take(kept)], names)
             if found:
-                i, j = (pa.array(x) for x in zip(*found, strict=True))
+                i, j = (pa.array(x) for x in zip(*forest(found), strict=True))
                 u, v = digest.take(i), digest.take(j)
                 spread = pa.array([int.from_bytes(x.as_py()[:8], "little", signed=True) for x in u], pa.int64())
                 yield pa.record_batch([spread, u, v, pa.nulls(len(u), pa.binary())], names)
@@ -181,7 +200,7 @@ def candidate_edges(classes: DataFrame, near: float, wide: float) -> DataFrame:
                     u = run.column("u").to_pylist()
                     out.extend((u[i], u[j]) for i, j in lead(_unpack(run.column("signature").to_pylist()), near, wide)[1])
             if out:
-                yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*set(out), strict=True)], ["u", "v"])
+                yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*forest(out), strict=True)], ["u", "v"])
 
     dealt = classes.select("digest", "signature", "bands").mapInArrow(local, "band long, u binary, v binary, signature binary")
     return dealt.repartition("band").sortWithinPartitions("band").mapInArrow(meet, "u binary, v binary")
