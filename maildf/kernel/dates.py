@@ -43,12 +43,26 @@ class _Slots:
         return int(d if self.closed[i] else d.ljust(SIZES[i], b"0")) if d else 0
 
 
+_USUAL = re.compile(rb"[ \t]*(?:[A-Za-z]{3},[ \t]*)?([0-9]{1,2})[ \t]+[A-Za-z]([A-Za-z]{2})[ \t]+([0-9]{4})[ \t]+([0-9]{2}):([0-9]{2}):([0-9]{2})[ \t]+([+-])([0-9]{2})([0-9]{2})(?:[ \t]+\([^()\\\r\n]*\))?[ \t]*\r?\n(?![ \t])")
+
+
+def _usual(m: re.Match) -> dict | None:
+    """A date as the standard writes it."""
+    day, month, year, hour, minute, second, sign, tz_hour, tz_minute = m.groups()
+    number = _LETTERS.get(month.decode().lower())
+    year = int(year)
+    year += 2000 if year < 50 else 1900 if year < 100 else 0
+    return number and make(year, number, int(day), int(hour), int(minute), int(second), sign == b"-", int(tz_hour) % 24, int(tz_minute) % 60)
+
+
 def parse_date(data: bytes, at: int = 0) -> tuple[dict | None, int]:
     """The date in a field that starts at ``at``, and where the field ends.
 
     A zone letter takes the two bytes after it along, a newline among them: "Z" or "UT" at the end of
     a line pulls in the next line. A semicolon starts over. Comments nest and hide anything.
     """
+    if m := _USUAL.match(data, at):
+        return _usual(m), m.end()
     s, depth = _Slots(), 0
     while m := _TOKEN.match(data, at):
         t, at = m[0], m.end()

@@ -255,14 +255,23 @@ class _Mailboxes:
         return ("Address", {"List": self.addresses}) if self.addresses else EMPTY
 
 
-_SIMPLE = re.compile(rb"[ \t]*(?:([A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]+(?: [A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]+)*) +)?<([^ \t\r\n<>\\()@,:;\"=]+@[^ \t\r\n<>\\()@,:;\"=]+)>\r?\n\Z")
+_ATOM = rb"[A-Za-z0-9!#$%&'*+/=?^_`{|}~.-]+"
+_SPEC = rb"[^ \t\r\n<>\\()@,:;\"=]+@[^ \t\r\n<>\\()@,:;\"=]+"
+_BOX = rb"[ \t]*(?:(?:\"([^\"\\\r\n= \t](?:[^\"\\\r\n=]*[^\"\\\r\n= \t])?)\"|(" + _ATOM + rb"(?: " + _ATOM + rb")*))[ \t]+)?<(" + _SPEC + rb")>[ \t]*|[ \t]*(" + _SPEC + rb")[ \t]*"
+_BOXES = re.compile(rb"(?:(?:" + _BOX + rb"),)*(?:" + _BOX + rb")\r?\n\Z")
+_EACH = re.compile(_BOX)
 
 
 def address(data: bytes, at: int) -> tuple[Value, int]:
     value, end, closed = extent(data, at)
-    m = _SIMPLE.match(value) if closed and b"=?" not in value else None
-    if m:  # one plain mailbox, the common case
-        return ("Address", {"List": [{"name": utf8(m[1]) if m[1] else None, "address": utf8(m[2])}]}), end
+    if closed and len(value) < 4096 and b"=?" not in value and _BOXES.match(value):  # plain mailboxes, the common case
+        found, i = [], 0
+        while m := _EACH.match(value, i):
+            quoted, name, mail, bare = m.groups()
+            name = quoted if name is None else name
+            found.append({"name": None if name is None else utf8(name), "address": utf8(bare if mail is None else mail)})
+            i = m.end() + 1  # the comma
+        return ("Address", {"List": found}), end
     return _Mailboxes(value, closed).result(), end
 
 
