@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..kernel.mime import KNOWN
+from ..parse import IDS, OTHER_ID
 
 
 def _col(c: Column | str) -> Column:
@@ -141,11 +142,12 @@ def value_is_empty(value: Column) -> Column:
 
 
 def value_len(value: Column) -> Column:
-    """Bytes of text, of all texts of a list, of all address texts; 24 for a date."""
+    """Bytes of all texts in a value, without marks between them; 24 for a date, 1 for Received, 0 for an empty value."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)))
     addr = F.flatten(F.transform(value["address"]["groups"], lambda g: F.flatten(F.transform(g["addresses"], lambda a: F.array(a["name"], a["address"])))))
     ct = value["content_type"]
-    media = F.octet_length(ct["c_type"]) + F.coalesce(F.octet_length(ct["c_subtype"]) + 1, F.lit(0))
+    named = F.aggregate(F.coalesce(ct["attributes"], F.array().cast("array<struct<name:string,value:string>>")), F.lit(0), lambda n, a: n + F.octet_length(a["name"]) + F.octet_length(a["value"]))
+    media = F.octet_length(ct["c_type"]) + F.coalesce(F.octet_length(ct["c_subtype"]), F.lit(0)) + named
     kind = value["kind"]
     return F.when(kind == "Text", F.octet_length(value["text"])).when(kind == "TextList", total(value["texts"])).when(kind == "Address", total(addr)).when(kind == "DateTime", F.lit(24)).when(kind == "ContentType", media).when(kind == "Received", F.lit(1)).otherwise(F.lit(0))
 
@@ -265,10 +267,16 @@ text_bodies, html_bodies, attachments = _each("text_body"), _each("html_body"),
 
 
 def contents(part: Column) -> Column:
-    """Bytes of a part; null for multiparts and messages, whose bytes are a slice of the raw message."""
+    """Bytes of a part, of a message that was encoded its decoded bytes; null for multiparts and messages in place."""
     return F.coalesce(part["text"].cast("binary"), part["bytes"])
 
 
+def nested_raw(raw: Column | str, message: Column | str, part: Column) -> Column:
+    """Raw bytes of a part's nested message, whether it was encoded or not."""
+    first = _at(sub_message(message, part)["parts"], 0)
+    return F.when(part["kind"] == "message", F.coalesce(part["bytes"], _cut(_col(raw), first["offset_header"], first["offset_end"])))
+
+
 def text_contents(part: Column) -> Column:
     """Text of a text part, or binary contents that are UTF-8."""
     return F.coalesce(part["text"], _text_or_null(part["bytes"]))
@@ -276,7 +284,12 @@ def text_contents(part: Column) -> Column:
 
 def part_len(part: Column) -> Column:
     """Bytes of the contents, of a nested message its raw length, 0 for a multipart."""
-    return F.when(part["kind"] == "multipart", 0).when(part["kind"] == "message", part["offset_end"] - part["offset_body"]).otherwise(F.octet_length(contents(part)))
+    nested = F.coalesce(F.octet_length(part["bytes"]), part["offset_end"] - part["offset_body"])
+    return F.when(part["kind"] == "multipart", 0).when(part["kind"] == "message", nested).otherwise(F.octet_length(contents(part)))
+
+
+def part_is_empty(part: Column) -> Column:
+    return part_len(part) == 0
 
 
 def sub_parts(part: Column) -> Column:
@@ -401,3 +414,32 @@ def attachment_name(part: Column) -> Column:
 def is_content_type(part: Column, kind: str, sub: str) -> Column:
     ct = content_type(part)
     return F.coalesce((F.lower(ct["c_type"]) == kind.lower()) & (F.lower(ct["c_subtype"]) == sub.lower()), F.lit(False))
+
+
+# -- spellings ---------------------------------------------------------------------------------------------
+
+
+def tls_version_text(version: Column) -> Column:
+    return F.replace(version, F.lit("_"), F.lit("."))
+
+
+def greeting_text(greeting: Column) -> Column:
+    return F.upper(greeting)
+
+
+def host_text(host: Column) -> Column:
+    return F.coalesce(host["name"], host["ip"])
+
+
+def header_name_id(name: Column | str) -> Column:
+    """The id of a header name; 37 for any that is not known."""
+    ids = F.create_map(*[F.lit(x) for low, i in IDS.items() for x in (low, i)])
+    return F.coalesce(ids[F.lower(_col(name))], F.lit(OTHER_ID))
+
+
+def is_other_header(name: Column | str) -> Column:
+    return header_name_id(name) == OTHER_ID
+
+
+def is_mime_header(name: Column | str) -> Column:
+    return F.lower(_col(name)).isin("content-description", "content-id", "content-language", "content-location", "content-transfer-encoding", "content-type", "content-disposition")

@@ -65,6 +65,7 @@ def flatten(message: mime.Message | None) -> dict | None:
             row = {"msg_path": path, "part_id": i, "offset_base": base, "headers": [_header(h) for h in p.headers], "is_encoding_problem": p.problem, "encoding": p.encoding, "kind": p.kind, "offset_header": p.offset_header, "offset_body": p.offset_body, "offset_end": p.offset_end}
             if p.kind == "message":
                 todo.append((p.body, [*path, i], "decoded" if p.encoding != "none" else base))
+                row["bytes"] = p.body.raw if p.encoding != "none" else None
             else:
                 row["children" if p.kind == "multipart" else "text" if p.kind in ("text", "html") else "bytes"] = p.body
             out["parts"].append(row)

@@ -161,6 +161,19 @@ def test_address_functions(spark):
     assert [tuple(r) for r in got] == [c[1:] for c in cases]
 
 
+def test_names_values_and_sql(spark, mail):
+    df = spark.createDataFrame([("SUBJECT",), ("content-id",), ("X-Y",), ("Message-Instance",)], "n string")
+    assert [tuple(r) for r in df.select(M.header_name_id("n"), M.is_mime_header("n"), M.is_other_header("n")).collect()] == [(0, False, False), (17, True, False), (37, False, True), (43, False, False)]
+    r = one(mail, M.value_len(M.header("message", "Content-Type")).alias("ct"), M.value_len(M.header("message", "To")).alias("to"), M.host_text(M.received("message")["from"]).alias("host"), M.nested_raw("raw", "message", M.part("message", 2)).alias("nested"), M.greeting_text(F.lit("Ehlo")).alias("g"), M.tls_version_text(F.lit("TLSv1_2")).alias("t"))
+    assert (r.ct, r.to, r.host, r.g, r.t) == (len("multipartmixedboundaryb"), len("Bobbob@y.orgCyCY@z.org"), "c.example", "EHLO", "TLSv1.2")
+    assert bytes(r.nested) == b"Subject: inner\r\n\r\ninner text"
+    M.register(spark)
+    assert spark.sql("SELECT mail_thread_name_of('Re: x'), mail_html_to_text('<p>y</p>')").first()[:] == ("x", "y\n")
+    one_addr = M.addr(F.lit("A"), F.lit("a@b"))
+    got = spark.range(1).select(M.first_address(M.to_address(F.array(M.group(F.lit("g"), F.array(one_addr)))))["address"]).first()[0]
+    assert got == "a@b"
+
+
 def test_mbox_sources(spark, tmp_path):
     sources.register(spark)
     turns = [(f"From a{i}@x Sat Jan  3 01:05:{i % 60:02d} 1996\nSubject: {i}\n\n" + f">From quoted {i}\n" * (i % 7)).encode() for i in range(200)]
