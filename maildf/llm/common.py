@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
-import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -25,8 +25,9 @@ _LOCAL: dict[str, str] = {}
 class Scratch:
     """Tables written to the shared folder of ``spark.checkpoint.dir`` to cut lineage.
 
-    A table outlives a lost executor, since every machine sees the folder. ``tie(df)`` deletes the
-    tables once ``df`` is garbage; a frame derived from ``df`` must therefore not outlive it.
+    A table outlives a lost executor, since every machine sees the folder. It stays until ``drop()``, or,
+    after ``tie(df)``, until the program ends or ``release()`` is called: frames are lazy, so nobody but
+    the caller knows when the last one that reads a table has been used.
     """
 
     def __init__(self, spark: SparkSession):
@@ -55,13 +56,25 @@ class Scratch:
         _delete(self.spark, paths)
 
     def tie(self, df: DataFrame) -> DataFrame:
-        weakref.finalize(df, _delete, self.spark, self.paths)
+        _TIED.append(self)
         return df
 
 
+_TIED: list[Scratch] = []
+
+
+@atexit.register
+def release() -> None:
+    """Delete the scratch tables of all results returned so far."""
+    while _TIED:
+        _TIED.pop().drop()
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     try:
         sc = spark.sparkContext
+        if sc._jsc is None:
+            return
         for p in paths:
             path = sc._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
