@@ -25,14 +25,15 @@ _LOCAL: dict[str, str] = {}
 class Scratch:
     """Tables written to the shared folder of ``spark.checkpoint.dir`` to cut lineage.
 
-    A table outlives a lost executor, since every machine sees the folder. It stays until ``drop()``, or,
-    after ``tie(df)``, until the program ends or ``release()`` is called: frames are lazy, so nobody but
-    the caller knows when the last one that reads a table has been used.
+    A table outlives a lost executor, since every machine sees the folder. It stays until ``drop()`` or
+    ``release()`` is called or the program ends: frames are lazy, so nobody but the caller knows when
+    the last one that reads a table has been used.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: list[str] = []
+        _OPEN.append(self)
 
     def _base(self) -> str:
         base = self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -55,19 +56,15 @@ class Scratch:
         paths, self.paths = self.paths, []
         _delete(self.spark, paths)
 
-    def tie(self, df: DataFrame) -> DataFrame:
-        _TIED.append(self)
-        return df
 
-
-_TIED: list[Scratch] = []
+_OPEN: list[Scratch] = []
 
 
 @atexit.register
 def release() -> None:
-    """Delete the scratch tables of all results returned so far."""
-    while _TIED:
-        _TIED.pop().drop()
+    """Delete all scratch tables; results that have not been computed yet can't be any more."""
+    while _OPEN:
+        _OPEN.pop().drop()
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:

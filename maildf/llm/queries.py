@@ -11,12 +11,12 @@ from .common import Query, Scratch, table_of
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark)
-    return s.tie(packing.pack(table_of(spark, sf_dir, "documents"), s))
+    return packing.pack(table_of(spark, sf_dir, "documents"), s)
 
 
 def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark)
-    return s.tie(separators.count_tokens(table_of(spark, sf_dir, "documents"), s.path("flat")))
+    return separators.count_tokens(table_of(spark, sf_dir, "documents"), s.path("flat"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,35 +26,35 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark)
-    return s.tie(neighbours.search(table_of(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, s))
+    return neighbours.search(table_of(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, s)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark)
-    return s.tie(substrings.digests(table_of(spark, sf_dir, "documents"), s))
+    return substrings.digests(table_of(spark, sf_dir, "documents"), s)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark)
-    return s.tie(exact.dedup(table_of(spark, sf_dir, "documents"), s).drop("uid"))
+    return exact.dedup(table_of(spark, sf_dir, "documents"), s).drop("uid")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark)
     out = mixing.mix_sources(table_of(spark, sf_dir, "documents"), s)
-    return s.tie(out.select("doc_id", "text", "lang", "source", "n_chars", "copy", "mix_key"))
+    return out.select("doc_id", "text", "lang", "source", "n_chars", "copy", "mix_key")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark)
     path = s.path("warc")
     warc.write(table_of(spark, sf_dir, "pages"), path, s)
-    return s.tie(warc.read(spark, path).drop("payload", "url"))
+    return warc.read(spark, path).drop("payload", "url")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark)
-    return s.tie(jaccard.join(table_of(spark, sf_dir, "documents"), s))
+    return jaccard.join(table_of(spark, sf_dir, "documents"), s)
 
 
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
