@@ -65,4 +65,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = out.table(docs, name)
-    return out.tie(docs)
+    return docs
