@@ -99,7 +99,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, http, payload
 
 
-def write(pages: DataFrame, path: str, scratch: Scratch, least: int = 1000, archive_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> None:
+def write(pages: DataFrame, path: str, scratch: Scratch, least: int = 1000, archive_bytes: int = 64 << 20, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> None:
     """Write one record for each row of ``pages (page_id, url, html)`` into archives below ``path``.
 
     Of pages with equal payloads of at least ``least`` bytes, the one with the largest page_id is the
