@@ -30,6 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,9 @@ from .common import SPACE, WORD, Scratch, mix, runs, slices, word_hashes
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-PACKED = "bucket int, kind int, keys binary, rids binary, places binary"
-FIELDS = ["bucket", "kind", "keys", "rids", "places"]
+PACKED = "bucket int, kind int, keys binary, rids binary, counts binary, places binary"
+FOUND = "bucket int, rids binary, counts binary, places binary"
+FIELDS = ["bucket", "kind", "keys", "rids", "counts", "places"]
 
 
 def rounds_for(window: int) -> int:
@@ -79,12 +82,19 @@ class Prints:
             return mix((self.sums[at + length] - self.sums[at]) * self.undo[at], length)
 
 
+def _runs(rids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row ids without repeats next to each other, and how often each stood there."""
+    cuts = np.append(np.flatnonzero(np.append(len(rids) > 0, rids[1:] != rids[:-1])), len(rids))
+    return rids[cuts[:-1]], np.diff(cuts).astype("<u4")
+
+
 def _pack(keys: np.ndarray, rids: np.ndarray, places: np.ndarray, tokens: np.ndarray, here: tuple[np.ndarray, np.ndarray], buckets: int, turn: int) -> pa.RecordBatch:
     """Rows of one batch: kind 0 asks about keys, kind 1 are keys known to repeat, kind 2 places already found."""
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[] for _ in FIELDS]
 
-    def add(bucket: int, kind: int, *arrays: np.ndarray | None) -> None:
-        for c, v in zip(out, (bucket, kind, *(None if a is None else a.tobytes() for a in arrays)), strict=True):
+    def add(bucket: int, kind: int, keys: np.ndarray | None, rids: np.ndarray | None, places: np.ndarray | None) -> None:
+        names, counts = (None, None) if rids is None else _runs(rids)
+        for c, v in zip(out, (bucket, kind, *(None if a is None else a.tobytes() for a in (keys, names, counts, places))), strict=True):
             c.append(v)
 
     for kind, k, r, p in ((0, keys, rids, places), (1, tokens, None, None)):
@@ -105,51 +115,65 @@ def _ask(found: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, turn: in
         return None
     keys = np.concatenate([k for _, k, _ in found])
     rids = np.repeat(np.array([r for r, _, _ in found], np.int64), [len(k) for _, k, _ in found])
-    places = np.concatenate([p for _, _, p in found]).astype(np.uint32)
+    places = np.concatenate([p for _, _, p in found]).astype("<u4")
     distinct, code, times = np.unique(keys, return_inverse=True, return_counts=True)
     again = times[code] > 1
     return _pack(keys[~again], rids[~again], places[~again], distinct[times > 1], (rids[again], places[again]), buckets, turn)
 
 
 def repeated(asked: DataFrame, buckets: int) -> DataFrame:
-    """Places whose key occurs twice or more: rows (bucket, rids, places), dealt by row id."""
+    """Places whose key occurs twice or more: rows (bucket, rids, counts, places), dealt by row id."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "bucket"):
             kinds = np.array(t.column("kind").to_pylist())
             part = lambda name, kind, dtype: np.frombuffer(b"".join(x for x, k in zip(t.column(name).to_pylist(), kinds, strict=True) if k == kind), dtype)  # noqa: B023, E731
-            keys, rids, places = part("keys", 0, "<u8"), part("rids", 0, "<i8"), part("places", 0, "<u4")
+            named = lambda kind: np.repeat(part("rids", kind, "<i8"), part("counts", kind, "<u4"))  # noqa: B023, E731
+            keys, rids, places = part("keys", 0, "<u8"), named(0), part("places", 0, "<u4")
             _, code, times = np.unique(keys, return_inverse=True, return_counts=True)
             hit = (times[code] > 1) | np.isin(keys, part("keys", 1, "<u8"))
-            rids, places = np.append(part("rids", 2, "<i8"), rids[hit]), np.append(part("places", 2, "<u4"), places[hit])
+            rids, places = np.append(named(2), rids[hit]), np.append(part("places", 2, "<u4"), places[hit])
             of = rids.view(np.uint64) % np.uint64(buckets)
             order = np.lexsort((places, rids, of))
             cuts = np.searchsorted(of[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts)).tolist()
             if full:
                 cut = [order[cuts[b] : cuts[b + 1]] for b in full]
-                yield pa.record_batch([pa.array(full, pa.int32()), pa.array([rids[i].tobytes() for i in cut], pa.binary()), pa.array([places[i].tobytes() for i in cut], pa.binary())], ["bucket", "rids", "places"])
+                names = [_runs(rids[i]) for i in cut]
+                yield pa.record_batch([pa.array(full, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in ([n for n, _ in names], [n for _, n in names], [places[i] for i in cut]))], ["bucket", "rids", "counts", "places"])
+
+    return asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, FOUND)
+
+
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as Zstandard blobs, so that shuffling them moves a third."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for b in slices(batches, "text"):
+        yield pa.record_batch([b.column("bucket"), b.column("rid"), pa.array([squeeze(t.encode()) for t in b.column("text").to_pylist()], pa.binary())], ["bucket", "rid", "blob"])
 
-    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, rids binary, places binary")
 
+def _text(blob: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(blob).decode()
 
-def _with_places(texts: DataFrame, found: DataFrame) -> DataFrame:
+
+def _with_places(texts: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     """Both sides dealt by bucket, the places of a bucket before its texts."""
     none = F.lit(None).cast("binary")
-    left = found.select("bucket", F.lit(0).alias("kind"), "rids", "places", F.lit(None).cast("long").alias("rid"), F.lit(None).cast("string").alias("text"))
-    right = texts.select("bucket", F.lit(1).alias("kind"), none.alias("rids"), none.alias("places"), "rid", "text")
-    return left.unionByName(right).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    left = found.select("bucket", F.lit(0).alias("kind"), "rids", "counts", "places", F.lit(None).cast("long").alias("rid"), none.alias("blob"))
+    right = texts.select("bucket", F.lit(1).alias("kind"), none.alias("rids"), none.alias("counts"), none.alias("places"), "rid", "blob")
+    return left.unionByName(right).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
 
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str, np.ndarray]]:
-    """(bucket, rid, text, places) of texts that have places."""
-    bucket, parts, places = None, [], {}
-    for b in slices(batches, "text"):
-        for at, kind, rids, where, rid, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """(bucket, rid, blob, places) of texts that have places."""
+    bucket, parts, places = None, [], None
+    for b in batches:
+        for i in range(b.num_rows):
+            at, kind, rids, counts, where, rid, blob = (c[i].as_py() for c in b.columns)
             if at != bucket:
                 bucket, parts, places = at, [], None
             if kind == 0:
-                parts.append((np.frombuffer(rids, "<i8"), np.frombuffer(where, "<u4")))
+                parts.append((np.repeat(np.frombuffer(rids, "<i8"), np.frombuffer(counts, "<u4")), np.frombuffer(where, "<u4")))
                 continue
             if places is None:
                 places = {}
@@ -161,7 +185,7 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str,
                     places = {int(r[i]): p[i:j] for i, j in zip(cuts, cuts[1:], strict=False)}
                 parts = []
             if rid in places:
-                yield bucket, rid, text, places[rid].astype(np.int64)
+                yield bucket, rid, blob, places[rid].astype(np.int64)
 
 
 def _cut(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +193,7 @@ def _cut(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, Dat
     rounds = rounds_for(window)
     reach = 2**rounds - 1
     stretch = window - reach
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("rid", F.xxhash64("doc_id", "text"))
 
@@ -183,49 +207,49 @@ def _cut(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, Dat
                     at, name = recompress(h, rounds)
                     fits = at + stretch <= len(words)
                     found.append((rid, mix(name[fits] ^ Prints(h).of(at[fits], stretch)), at[fits]))
-            if (out := _ask(found, buckets, turn + 7 * len(found))) is not None:
+            if (out := _ask(found, buckets, _turn(turn))) is not None:
                 yield out
 
     shared = repeated(texts.select("rid", "text").mapInArrow(symbols, PACKED), buckets)
-    dealt = texts.withColumn("bucket", _bucket_of("rid", buckets))
+    dealt = texts.select(_bucket_of("rid", buckets).alias("bucket"), "rid", "text").mapInArrow(_squeezed, "bucket int, rid long, blob binary")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int32(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["bucket", "rid", "text", "places"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "rid", "blob", "places"])
 
-        for bucket, rid, text, places in _matched(batches):
-            held.append((bucket, rid, text, places.astype("<u4").tobytes()))
-            size += len(text)
-            if size > 2_000_000:
+        for bucket, rid, blob, places in _matched(batches):
+            held.append((bucket, rid, blob, places.astype("<u4").tobytes()))
+            size += len(blob)
+            if size > 1_000_000:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
-    some = scratch.table(_with_places(dealt, shared).mapInArrow(candidates, "bucket int, rid long, text string, places binary"), "shared")
+    some = scratch.table(_with_places(dealt, shared, buckets).mapInArrow(candidates, "bucket int, rid long, blob binary, places binary"), "shared")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, b in enumerate(slices(batches, "text", 8_000_000, 4096)):
+        for turn, b in enumerate(slices(batches, "blob", 3_000_000, 4096)):
             found = []
-            for rid, text, raw in zip(*(b.column(c).to_pylist() for c in ("rid", "text", "places")), strict=True):
-                h = word_hashes(WORD.findall(text))
+            for rid, blob, raw in zip(*(b.column(c).to_pylist() for c in ("rid", "blob", "places")), strict=True):
+                h = word_hashes(WORD.findall(_text(blob)))
                 near = np.zeros(len(h) + 1, np.int64)
                 p = np.frombuffer(raw, "<u4").astype(np.int64)
                 np.add.at(near, np.maximum(p - reach, 0), 1)
                 np.add.at(near, p + 1, -1)
                 at = np.flatnonzero(np.cumsum(near)[: len(h) - window + 1] > 0)
                 found.append((rid, Prints(h).of(at, window), at))
-            if (out := _ask(found, buckets, turn + 7 * len(found))) is not None:
+            if (out := _ask(found, buckets, _turn(turn))) is not None:
                 yield out
 
-    marked = repeated(some.select("rid", "text", "places").mapInArrow(windows, PACKED), buckets)
+    marked = repeated(some.select("rid", "blob", "places").mapInArrow(windows, PACKED), buckets)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rid, text, places in _matched(batches):
-            words = WORD.findall(text)
+        for _, rid, blob, places in _matched(batches):
+            words = WORD.findall(_text(blob))
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, places, 1)
             np.add.at(edge, places + window, -1)
@@ -233,7 +257,7 @@ def _cut(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, Dat
             kept = " ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x)
             yield pa.record_batch([pa.array([rid], pa.int64()), pa.array([int(gone.sum())], pa.int64()), pa.array([kept], pa.string())], ["rid", "n_removed", "kept"])
 
-    cut = _with_places(some, marked).mapInArrow(cover, "rid long, n_removed long, kept string")
+    cut = _with_places(some, marked, buckets).mapInArrow(cover, "rid long, n_removed long, kept string")
     return texts, cut
 
 
@@ -273,6 +297,11 @@ def _once(cut: DataFrame) -> DataFrame:
     return cut.dropDuplicates(["rid"])
 
 
+def _turn(batch: int) -> int:
+    """Where a batch sends the places it found by itself: another bucket each time."""
+    return 7 * TaskContext.get().partitionId() + batch
+
+
 def _bucket_of(rid: str, buckets: int):
     """The row id as an unsigned number modulo ``buckets``, as numpy has it."""
     wrap = F.lit((1 << 64) % buckets)
