@@ -61,7 +61,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 15)
     """A linear machine with squared hinge loss by dual coordinate descent; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w, a = np.zeros(x.shape[1], np.float32), np.zeros(len(x))
-    norm = (x * x).sum(1) + 0.5 / cost
+    norm = np.einsum("ij,ij->i", x, x) + 0.5 / cost
     rng = np.random.default_rng(0)
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
@@ -121,7 +121,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, rows: int = 4000, rows_a_language: int = 600) -> Model:
+def fit(docs: DataFrame, rows: int = 4000, rows_a_language: int = 300) -> Model:
     """Fit on about ``rows_a_language`` rows of each language, ``rows`` in all, chosen by a hash of doc_id.
 
     Both bounds are on the sample alone. Held-out rows, null labels, null doc_ids and texts without a
