@@ -251,7 +251,8 @@ def links(docs: DataFrame, classes: DataFrame, roots: DataFrame, scratch: Scratc
     members = members.select(F.col("node").alias("digest"), "root", "blocks").join(classes.select("digest", "doc_id", "size"), "digest")
     members = scratch.table(members, "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = members.join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).select("digest", "root", "blocks", "size", "text")
+    # The same plan at every size: a broadcast of the members would work on small inputs only.
+    found = members.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).select("digest", "root", "blocks", "size", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1_000_000):
