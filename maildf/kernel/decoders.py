@@ -8,7 +8,8 @@ import re
 BLANK = b" \t\r\n"
 _B64_BODY = re.compile(rb"[A-Za-z0-9+/= \t\r\n-]*\Z")
 _B64_STRICT = re.compile(rb"[A-Za-z0-9+/= \t\r\n]*\Z")
-_QP_ESCAPE = re.compile(rb"=[ \t\x0c]*(?:([0-9A-Fa-f])([^=])|([^=])|(=)|\Z)", re.S)
+_QP_ESCAPE = re.compile(rb"=[ \t\x0c]*(?:([0-9A-Fa-f])([^=])|([0-9A-Fa-f]?=)|[0-9A-Fa-f]?\Z|([^=]))", re.S)
+_QP_HALF = re.compile(rb"(=[ \t\x0c]*[0-9A-Fa-f])((?:\r*\n)+)")
 
 
 def base64_groups(data: bytes, closed: bool = False) -> bytes:
@@ -37,35 +38,65 @@ def base64_body(data: bytes) -> bytes | None:
     return base64_groups(data.translate(None, BLANK + b"-")) if _B64_BODY.match(data) else None
 
 
+_TRAIL = re.compile(rb"[ \t\x0c]+\n")
+_CROWDED = re.compile(rb"=[^\n]?=")
+_DOUBLED = re.compile(rb"=[ \t\x0c]*[0-9A-Fa-f]?=\Z")
+_OPEN = re.compile(rb"=[ \t\x0c]*[0-9A-Fa-f]\Z")
+_BYTES = {bytes([a, b]): bytes([int(chr(a) + chr(b), 16)]) for a in b"0123456789ABCDEFabcdef" for b in b"0123456789ABCDEFabcdef"}
+
+
+def _regular(data: bytes) -> tuple[bytes, bytes] | None:
+    """As ``_quoted`` for data with one kind of newline and good escapes alone; None for any other."""
+    newline = b"\n"
+    if b"\r" in data:
+        newline = b"\r\n"
+        if not data.count(b"\r") == data.count(newline) == data.count(b"\n"):
+            return None
+        data = data.replace(newline, b"\n")
+    data = _TRAIL.sub(b"\n", data)
+    if _CROWDED.search(data):
+        return None
+    data = data.replace(b"=\n", b"")
+    if newline == b"\r\n":
+        data = data.replace(b"\n", newline)
+    plain, *escaped = data.split(b"=")
+    try:
+        return b"".join([plain, *[_BYTES[x[:2]] + x[2:] for x in escaped]]), newline
+    except KeyError:
+        return None
+
+
 def _quoted(data: bytes, lenient: bool) -> tuple[bytes, bytes] | None:
     """Decoded bytes and the newline that was in use at the end."""
+    if found := _regular(data):
+        return found
     out, newline = [], b"\n"
-    lines = data.split(b"\n")
+    lines = _QP_HALF.sub(rb"\2\1", data).split(b"\n")  # half an escape waits behind the newline for its end
     bad = False
 
     def escape(m: re.Match) -> bytes:
         nonlocal bad
         if m[1]:
-            try:
-                return bytes([int(m[1] + m[2], 16)]) if m[2] not in b"+- _" else _literal(m)
-            except ValueError:
-                return _literal(m)
-        if m[3]:
+            return _BYTES.get(m[1] + m[2]) or _literal(m)
+        if m[4]:
             return _literal(m)
-        bad = bad or m[4] is not None
+        bad = bad or m[3] is not None
         return b""
 
     def _literal(m: re.Match) -> bytes:
         nonlocal bad
         bad = bad or not lenient
-        return b"=" + (m[1] + m[2] if m[1] else m[3])
+        return b"=" + (m[1] + m[2] if m[1] else m[4])
 
     for i, line in enumerate(lines):
         if b"\r" in line:
             newline, line = b"\r\n", line.replace(b"\r", b"")
         if i < len(lines) - 1:
             bare = line.rstrip(b" \t\x0c")
+            if len(bare) < len(line) and _OPEN.search(bare):
+                bare = line[: len(bare) + 1]  # this blank belongs to a bad escape
             soft = bare.endswith(b"=")
+            bad = bad or soft and _DOUBLED.search(bare) is not None
             line = bare[:-1] if soft else bare
             out.append(_QP_ESCAPE.sub(escape, line) if b"=" in line else line)
             if not soft:
