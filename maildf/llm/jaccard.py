@@ -99,21 +99,32 @@ def lead(signatures: np.ndarray, near: float, wide: float) -> tuple[list[int], l
 
     Two members agree to at least 1 - (1 - near) - (1 - agreement of both) with one another's
     leaders, since disagreement is a metric; so whenever that is at least ``wide``, both end up in
-    one component though they were not compared.
+    one component though they were not compared. Edges within a component are left out, so there are
+    fewer of them than members.
     """
-    leaders, edges = [0], []
-    for lo in range(0, len(signatures), 512):
+    n = len(signatures)
+    leaders, edges, label = np.empty(n, np.int64), [], np.arange(n)
+    count = 0
+    for lo in range(0, n, 512):
         part = signatures[lo : lo + 512]
-        known = np.stack([(part == signatures[x]).mean(axis=1) for x in leaders])
+        before = count
+        agreed = np.empty((before + len(part), len(part)), np.float32)  # with leaders so far, then with one another
+        for k in range(before):
+            agreed[k] = (part == signatures[leaders[k]]).mean(axis=1)
+        for k in range(len(part)):
+            agreed[before + k] = (part == part[k]).mean(axis=1)
         for i in range(len(part)):
-            me = lo + i
-            if me == 0:
-                continue
-            mine = np.append(known[:, i], [(part[i] == signatures[x]).mean() for x in leaders[len(known) :]])
-            edges.extend((me, leaders[x]) for x in np.flatnonzero(mine >= wide).tolist())
-            if mine.max() < near:
-                leaders.append(me)
-    return leaders, edges
+            rows = np.append(np.arange(before), before + leaders[before:count] - lo)
+            mine = agreed[rows, i]
+            linked = leaders[:count][mine >= wide]
+            for other, at in zip(*np.unique(label[linked], return_index=True), strict=True):
+                if other != label[lo + i]:
+                    edges.append((lo + i, int(linked[at])))
+                    label[label == other] = label[lo + i]
+            if not count or mine.max() < near:
+                leaders[count] = lo + i
+                count += 1
+    return leaders[:count].tolist(), edges
 
 
 def forest(edges: Iterable[tuple]) -> list[tuple]:
