@@ -20,7 +20,7 @@ from .common import slices
 from .tokens import encode
 
 
-def write_flat(docs: DataFrame, path: str, eod: int = 50256, file_bytes: int = 32 << 20, vocabulary: str = "byte_bpe_50k.tiktoken") -> None:
+def write_flat(docs: DataFrame, path: str, eod: int = 50256, file_bytes: int = 8 << 20, vocabulary: str = "byte_bpe_50k.tiktoken") -> None:
     """Tokenise ``docs (doc_id, text)`` into flat files of about ``file_bytes`` below ``path``.
 
     ``kind=tokens/file_no=N`` holds 16-bit ids, each document closed by ``eod``, which no text can
