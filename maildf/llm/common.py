@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 #: ASCII white space: the only characters that separate words or are dropped in normalised text.
 SPACE = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-WORD = re.compile(f"[^{SPACE}]+")
 _LOCAL: dict[str, str] = {}
 
 
@@ -156,11 +154,16 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 2_000_000,
             yield batch.slice(start)
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8: runs of bytes that are no ASCII white space, as ``bytes.split`` has it."""
+    return (text or "").encode("utf-8", "replace").split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, the same on every machine."""
     if not words:
         return np.empty(0, np.uint64)
-    return pd.util.hash_array(np.array(words, dtype=object), categorize=True)
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, components, lookup, mix, runs, slices, word_hashes
+from .common import Scratch, components, lookup, mix, runs, slices, word_hashes, words_of
 
 BLOCK = 512
 
@@ -38,7 +38,7 @@ def choose_bands(threshold: float, recall: float = 0.9999, hashes: int = 128) ->
 
 def ngrams(text: str | None, n: int = 5) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct word n-grams of a whole text in lower case; of a shorter text, of all its words."""
-    h = word_hashes(WORD.findall((text or "").lower()))
+    h = word_hashes(words_of((text or "").lower()))
     if not len(h):
         return h
     n_ = min(n, len(h))
@@ -51,14 +51,15 @@ def ngrams(text: str | None, n: int = 5) -> np.ndarray:
 
 def minhash(grams: np.ndarray, hashes: int) -> np.ndarray:
     """The least value of each of ``hashes`` hash functions over a set."""
-    base = mix(np.arange(hashes, dtype=np.uint64), 17)
+    base = mix(np.arange(hashes, dtype=np.uint64), 17)[:, None]
     times, flip = base | np.uint64(1), mix(base, 23)
-    least = np.full(hashes, 0xFFFFFFFF, np.uint64)
+    least = np.full(hashes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     with np.errstate(over="ignore"):
-        for lo in range(0, len(grams), 2048):
-            x = ((grams[lo : lo + 2048, None] ^ flip) * times) >> np.uint64(32)
-            least = np.minimum(least, x.min(axis=0))
-    return least
+        for lo in range(0, len(grams), 1024):
+            x = grams[None, lo : lo + 1024] ^ flip
+            x *= times
+            least = np.minimum(least, x.min(axis=1))
+    return least >> np.uint64(32)
 
 
 def _unpack(signatures: list[bytes]) -> np.ndarray:

@@ -26,7 +26,7 @@ and sends one token in its place, so no key brings more rows to a task than ther
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, Scratch, mix, runs, slices, word_hashes
+from .common import SPACE, Scratch, mix, runs, slices, word_hashes, words_of
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -52,21 +52,42 @@ def rounds_for(window: int) -> int:
     return r
 
 
-def recompress(names: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and names of the top symbols after ``rounds`` rounds of pairing."""
+def recompress(names: np.ndarray, rounds: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and names of the top symbols after ``rounds`` rounds of pairing; ``first`` marks words that begin a document."""
     start = np.arange(len(names))
+    first = np.zeros(len(names), bool) if first is None else first
     for r in range(rounds):
         right = mix(names, r) >> np.uint64(63) == 1
-        pair = ~right[:-1] & right[1:]
+        left = np.flatnonzero(~right[:-1] & right[1:] & ~first[1:])
         with np.errstate(over="ignore"):
-            joint = mix(names[:-1] * np.uint64(BASE) ^ mix(names[1:], 64 + r), 128 + r)
+            joint = mix(names[left] * np.uint64(BASE) ^ mix(names[left + 1], 64 + r), 128 + r)
         names = names.copy()
-        names[:-1][pair] = joint[pair]
-        stay = np.append(True, ~pair)
-        names, start = names[stay], start[stay]
+        names[left] = joint
+        stay = np.ones(len(names), bool)
+        stay[left + 1] = False
+        names, start, first = names[stay], start[stay], first[stay]
     return start, names
 
 
+class Words:
+    """The words of a batch of documents, one after another."""
+
+    def __init__(self, texts: Iterable[tuple[int, bytes]], least: int):
+        rids, counts, words = [], [], []
+        for rid, text in texts:
+            w = text.split()
+            if len(w) >= least:
+                rids.append(rid)
+                counts.append(len(w))
+                words += w
+        self.rids, self.names = np.array(rids, np.int64), word_hashes(words)
+        self.ends = np.cumsum(np.array(counts, np.int64))
+        self.starts = self.ends - np.array(counts, np.int64)
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
+
+
 class Prints:
     """Fingerprints of any stretch of one document's words."""
 
@@ -109,13 +130,9 @@ def _pack(keys: np.ndarray, rids: np.ndarray, places: np.ndarray, tokens: np.nda
     return pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.binary()) for c in out[2:])], FIELDS)
 
 
-def _ask(found: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, turn: int) -> pa.RecordBatch | None:
-    """Sort out what repeats within a batch of (rid, keys, places)."""
-    if not found:
-        return None
-    keys = np.concatenate([k for _, k, _ in found])
-    rids = np.repeat(np.array([r for r, _, _ in found], np.int64), [len(k) for _, k, _ in found])
-    places = np.concatenate([p for _, _, p in found]).astype("<u4")
+def _ask(keys: np.ndarray, rids: np.ndarray, places: np.ndarray, buckets: int, turn: int) -> pa.RecordBatch:
+    """Sort out what repeats within a batch."""
+    places = places.astype("<u4")
     distinct, code, times = np.unique(keys, return_inverse=True, return_counts=True)
     again = times[code] > 1
     return _pack(keys[~again], rids[~again], places[~again], distinct[times > 1], (rids[again], places[again]), buckets, turn)
@@ -152,8 +169,8 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("bucket"), b.column("rid"), pa.array([squeeze(t.encode()) for t in b.column("text").to_pylist()], pa.binary())], ["bucket", "rid", "blob"])
 
 
-def _text(blob: bytes) -> str:
-    return zstandard.ZstdDecompressor().decompress(blob).decode()
+def _text(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
 
 
 def _with_places(texts: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
@@ -198,17 +215,16 @@ def _cut(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, Dat
     texts = texts.withColumn("rid", F.xxhash64("doc_id", "text"))
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, b in enumerate(slices(batches, "text", 8_000_000, 4096)):
-            found = []
-            for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = WORD.findall(text)
-                if len(words) >= window:
-                    h = word_hashes(words)
-                    at, name = recompress(h, rounds)
-                    fits = at + stretch <= len(words)
-                    found.append((rid, mix(name[fits] ^ Prints(h).of(at[fits], stretch)), at[fits]))
-            if (out := _ask(found, buckets, _turn(turn))) is not None:
-                yield out
+        for turn, b in enumerate(slices(batches, "text", 6_000_000, 4096)):
+            w = Words(zip(b.column("rid").to_pylist(), (t.encode() for t in b.column("text").to_pylist()), strict=True), window)
+            if len(w.names):
+                first = np.zeros(len(w.names), bool)
+                first[w.starts] = True
+                at, name = recompress(w.names, rounds, first)
+                doc = w.document(at)
+                fits = at + stretch <= w.ends[doc]
+                at, name, doc = at[fits], name[fits], doc[fits]
+                yield _ask(mix(name ^ Prints(w.names).of(at, stretch)), w.rids[doc], at - w.starts[doc], buckets, _turn(turn))
 
     shared = repeated(texts.select("rid", "text").mapInArrow(symbols, PACKED), buckets)
     dealt = texts.select(_bucket_of("rid", buckets).alias("bucket"), "rid", "text").mapInArrow(_squeezed, "bucket int, rid long, blob binary")
@@ -232,29 +248,28 @@ def _cut(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, Dat
     some = scratch.table(_with_places(dealt, shared, buckets).mapInArrow(candidates, "bucket int, rid long, blob binary, places binary"), "shared")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, b in enumerate(slices(batches, "blob", 3_000_000, 4096)):
-            found = []
-            for rid, blob, raw in zip(*(b.column(c).to_pylist() for c in ("rid", "blob", "places")), strict=True):
-                h = word_hashes(WORD.findall(_text(blob)))
-                near = np.zeros(len(h) + 1, np.int64)
-                p = np.frombuffer(raw, "<u4").astype(np.int64)
-                np.add.at(near, np.maximum(p - reach, 0), 1)
-                np.add.at(near, p + 1, -1)
-                at = np.flatnonzero(np.cumsum(near)[: len(h) - window + 1] > 0)
-                found.append((rid, Prints(h).of(at, window), at))
-            if (out := _ask(found, buckets, _turn(turn))) is not None:
-                yield out
+        for turn, b in enumerate(slices(batches, "blob", 2_000_000, 4096)):
+            w = Words(zip(b.column("rid").to_pylist(), map(_text, b.column("blob").to_pylist()), strict=True), 0)
+            found = [np.frombuffer(raw, "<u4").astype(np.int64) for raw in b.column("places").to_pylist()]
+            start = np.repeat(w.starts, [len(p) for p in found])
+            p = np.concatenate(found) + start
+            near = np.bincount(np.maximum(p - reach, start), minlength=len(w.names) + 1) - np.bincount(p + 1, minlength=len(w.names) + 1)
+            at = np.flatnonzero(np.cumsum(near) > 0)
+            doc = w.document(at)
+            fits = at + window <= w.ends[doc]
+            at, doc = at[fits], doc[fits]
+            yield _ask(Prints(w.names).of(at, window), w.rids[doc], at - w.starts[doc], buckets, _turn(turn))
 
     marked = repeated(some.select("rid", "blob", "places").mapInArrow(windows, PACKED), buckets)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rid, blob, places in _matched(batches):
-            words = WORD.findall(_text(blob))
+            words = _text(blob).split()
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, places, 1)
             np.add.at(edge, places + window, -1)
             gone = np.cumsum(edge)[:-1] > 0
-            kept = " ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x)
+            kept = b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x).decode()
             yield pa.record_batch([pa.array([rid], pa.int64()), pa.array([int(gone.sum())], pa.int64()), pa.array([kept], pa.string())], ["rid", "n_removed", "kept"])
 
     cut = _with_places(some, marked, buckets).mapInArrow(cover, "rid long, n_removed long, kept string")
@@ -284,8 +299,8 @@ def digests(docs: DataFrame, scratch: Scratch, window: int = 35) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            words = [WORD.findall(t) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), b.column("rid"), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(" ".join(w).encode()).hexdigest() for w in words])], ["doc_id", "rid", "n_words", "sha"])
+            words = [words_of(t) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), b.column("rid"), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])], ["doc_id", "rid", "n_words", "sha"])
 
     every = texts.select("doc_id", "rid", "text").mapInArrow(whole, "doc_id long, rid long, n_words long, sha string")
     less = _once(cut.select("rid", "n_removed", F.sha2("kept", 256).alias("less")))
