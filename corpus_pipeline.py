@@ -14,6 +14,8 @@ from maildf.llm import exact, jaccard, langid, mixing, packing
 from maildf.llm.common import Scratch, table_of
 
 _last: list[Scratch] = []
+#: A column that stands for the row while verdicts are joined back.
+ROW = "__pipeline_row"
 
 
 def _scratch(spark: SparkSession) -> Scratch:
@@ -31,21 +33,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
     verdicts = exact.dedup(docs, _scratch(spark))
-    kept = verdicts.filter("kept").select(F.col("uid").alias("_uid"))
-    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(kept, "_uid", "left_semi").drop("_uid")
+    kept = verdicts.filter("kept").select(F.col("uid").alias(ROW))
+    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(kept, ROW, "left_semi").drop(ROW)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the first row stays; rows stand for themselves, whatever their doc_id."""
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    classes = jaccard.join(rows.select(F.col("_uid").alias("doc_id"), "text"), _scratch(spark))
-    kept = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("_uid"))
-    return rows.join(kept, "_uid", "left_semi").drop("_uid")
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    classes = jaccard.join(rows.select(F.col(ROW).alias("doc_id"), "text"), _scratch(spark))
+    kept = classes.filter("doc_id = class_id").select(F.col("doc_id").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights."""
-    return mixing.mix_sources(docs, _scratch(spark)).select(docs.columns)
+    held = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+    return mixing.mix_sources(held, _scratch(spark)).select(f"{ROW}.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
