@@ -32,14 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, enough: int = 16 << 20) -> DataFrame:
+    """Deal a small input to all cores, since parsing costs far more than moving it; larger ones have splits enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * enough else df
+
+
 def rendered(df: DataFrame, keep: list[str], *lines: str) -> DataFrame:
     """A frame of ``keep`` and ``raw``: SQL string expressions joined by CRLF."""
-    return df.selectExpr(*keep, f"encode(concat_ws('\r\n', {', '.join(lines)}), 'UTF-8') AS raw")
+    return spread(df).selectExpr(*keep, f"encode(concat_ws('\r\n', {', '.join(lines)}), 'UTF-8') AS raw")
 
 
 def orders_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order confirmation for each order: headers alone."""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = spread(table(spark, sf_dir, "orders")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rendered(
         o,
         ["o_orderkey", "o_custkey"],
@@ -242,7 +249,7 @@ def preview_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tag stripper's rules are beyond SQL; tests hold it against small cases."""
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
     return p.select("page_id", M.html_to_text("html").alias("text"))
 
 
