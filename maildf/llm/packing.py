@@ -89,8 +89,11 @@ def pack(docs: DataFrame, scratch: Scratch, targets: dict[str, float] | None = N
 
     ``targets``: weights of sources; a source without one, and every source where none is given,
     weighs as many tokens as it has. When a queue runs dry the others go on in their proportions.
-    With more than ``max_queues`` sources, sources share queues by a hash, so that the table of
-    queues that every task holds keeps a fixed bound.
+    With more than ``max_queues`` sources, those with a target and the largest (by bytes of text, half
+    of ``max_queues``) keep queues of their own; only the rest share the other half by a hash, so that
+    the table of queues that every task holds keeps a fixed bound. A shared queue weighs as many
+    tokens as its sources have together and serves them in stored order: the queue keeps its
+    proportion, its small sources keep theirs only as far as one packet can tell.
 
     Null text counts as empty (one end token), null source is a source of its own, a null doc_id
     stays null, repeated rows are packed once each, and other columns are not read. An empty table
@@ -100,8 +103,14 @@ def pack(docs: DataFrame, scratch: Scratch, targets: dict[str, float] | None = N
         raise ValueError("quantum must not exceed window")
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    few = slim.select("source").distinct().limit(max_queues + 1).count() <= max_queues
-    queue = F.concat(F.lit("="), "source") if few else F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string"))
+    own = F.lit(True)
+    if slim.select("source").distinct().limit(max_queues + 1).count() > max_queues:
+        aimed = list(targets or {})
+        size = slim.filter(F.col("source").isNotNull() & ~F.col("source").isin(aimed)).groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
+        largest = [r[0] for r in size.orderBy(F.desc("size"), "source").limit(max_queues // 2).collect()]
+        own = F.col("source").isin(aimed + largest)
+    shared = F.pmod(F.xxhash64("source"), F.lit(max(1, max_queues - max_queues // 2)))
+    queue = F.when(own, F.concat(F.lit("="), "source")).otherwise(F.concat(F.lit("#"), shared.cast("string")))
     slim = slim.withColumn("queue", F.when(F.col("source").isNull(), F.lit("")).otherwise(queue))
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +130,7 @@ def pack(docs: DataFrame, scratch: Scratch, targets: dict[str, float] | None = N
     # The prefix sum of each queue over chunks: one row for a task and queue.
     before = per.withColumn("base", F.sum("tokens").over(Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
     before = scratch.table(before.select("queue", "chunk", F.coalesce("base", F.lit(0)).alias("base")), "prefix")
-    total = dict(sorted((r[0], r[1]) for r in per.groupBy("queue").agg(F.sum("tokens")).collect()))  # at most max_queues + 1 rows
+    total = dict(sorted((r[0], r[1]) for r in per.groupBy("queue").agg(F.sum("tokens")).collect()))  # at most max_queues + len(targets) + 1 rows
     names = list(total)
     weight = np.array([(targets or {}).get(q[1:] if q[:1] == "=" else q, total[q]) for q in names], dtype=float)
     share = np.maximum(1, np.round(weight / max(weight.sum(), 1e-9) * SCALE)).astype(np.int64) if names else np.empty(0, np.int64)

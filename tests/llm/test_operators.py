@@ -114,6 +114,25 @@ def test_packing_targets(spark):
     assert all(abs(share[s]["a"] - share[s]["b"]) <= 192 for s in range(5))
 
 
+@pytest.mark.parametrize("targets", [None, {"s0": 6e5, "s1": 2e5, "h0": 2e5}])
+def test_packing_more_sources_than_queues(spark, targets):
+    """Stored by source: large sources keep their proportions, and targets hold, whatever the number of small ones."""
+    names = [*np.repeat(["h0", "h1"], 60).tolist(), *(f"s{i}" for i in range(40))]
+    rows = [(i, text(i, 300), "en", n) for i, n in enumerate(names)]
+    got = packing.pack(frame(spark, rows).coalesce(1), Scratch(spark), targets=targets, max_queues=8).collect()
+    check_packing(rows, got)
+    weight = Counter()
+    for r in rows:
+        weight[r[3]] += len(encode(r[1])) + 1
+    weight |= targets or {}
+    last = 20 if targets is None else 1  # windows before a queue runs dry
+    sent = Counter()
+    for p in got:
+        sent[p.source] += p.length if p.sequence_id < last else 0
+    for n in ("h0", "h1", *(targets or {})):
+        assert abs(sent[n] - last * 1024 * weight[n] / sum(weight.values())) < 64 * 4, n
+
+
 # -- 2 -----------------------------------------------------------------------------------------------
 
 
