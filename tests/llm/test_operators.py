@@ -440,6 +440,23 @@ def test_licences(spark):
     assert brute == [(i, *index.best(t)) for i, t, *_ in rows]
 
 
+def test_licence_siblings():
+    """Notices, headers and texts that are near a sibling's get their own name."""
+    index = licences.Index(licences.TEMPLATES, 0.8)
+    terms = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    rows = [(f"CC-BY-{c}-4.0", f"This work is licensed under a Creative Commons Attribution-{t} 4.0 International License.") for c, t in (("SA", "ShareAlike"), ("ND", "NoDerivatives"), ("NC", "NonCommercial"), ("NC-SA", "NonCommercial-ShareAlike"), ("NC-ND", "NonCommercial-NoDerivatives"))]
+    rows += [("GPL-2.0", "This program is free software; " + terms.format("", ";", "2")), ("GPL-3.0", "This program is free software: " + terms.format("", ",", "3"))]
+    rows += [("AGPL-3.0", "This program is free software: " + terms.format("Affero ", ",", "3")), ("LGPL-2.1", "This library is free software; " + terms.format("Lesser ", ";", "2.1"))]
+    rows += [("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1.")]
+    bsd = [t for n, t in licences.TEMPLATES if n.startswith("BSD") and t.startswith("Redistribution")]
+    assert len(bsd) == 6
+    rows += [(n, f"Copyright (c) 2001 A. Person\n{t}") for n, t in licences.TEMPLATES if t in bsd]
+    for name in licences.FULL:
+        raw = licences.pkgutil.get_data("maildf.llm", f"texts/{name}.txt").decode()
+        rows += [(name, raw)] + ([(name, raw[: len(raw) * 9 // 10])] if not name.startswith("GFDL") else [])
+    assert [index.best(t)[0] for _, t in rows] == [n for n, _ in rows]
+
+
 # -- tokens and the pipeline -----------------------------------------------------------------------------
 
 
