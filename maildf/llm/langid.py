@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -122,17 +122,25 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, rows: int = 4000, rows_a_language: int = 300) -> Model:
-    """Fit on about ``rows_a_language`` rows of each language, ``rows`` in all, chosen by a hash of doc_id.
+    """Fit on up to ``rows_a_language`` rows of each language, ``rows`` in all, the first by a hash of doc_id.
 
-    Both bounds are on the sample alone. Held-out rows, null labels, null doc_ids and texts without a
-    letter are not learned from.
+    Both bounds are on the sample alone; every language keeps a row, and more than ``rows`` languages
+    are an error. Held-out rows, null labels, null doc_ids and texts without a letter are not learned
+    from.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text"))
-    n = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows // 10).collect()}
-    each = min(rows_a_language, max(10, rows // max(1, len(n))))
-    pick = F.lit(False)
-    for lang, count in n.items():
-        pick = pick | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, 1.1 * each / count))))
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").cast("string").rlike(r"\p{L}"))
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("key"), F.col("text").cast("string").alias("text"))
+    n = {r[0]: (r[1], r[2]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)), F.min("key")).limit(rows + 1).collect()}
+    if len(n) > rows:
+        raise ValueError(f"more than {rows} languages")
+    if not n:
+        return Model(np.zeros((0, DIMS), np.float32), np.empty(0, dtype=object))
+    each = min(rows_a_language, rows // len(n))
+    # About 2 * each + 50 rows of a language stay below its bound, and always the least hash; the first of them are taken.
+    bound = {lang: max(least, min(-(1 << 63) + (1 << 64) * (2 * each + 50) // count, (1 << 63) - 1)) for lang, (count, least) in n.items()}
+    below = F.create_map(*[F.lit(v) for item in bound.items() for v in item])[F.col("lang")]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", F.xxhash64("text")))
+    taken = labelled.filter(F.col("key") <= below).withColumn("place", place).filter(F.col("place") <= each)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -145,8 +153,7 @@ def fit(docs: DataFrame, rows: int = 4000, rows_a_language: int = 300) -> Model:
             if out:
                 yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], ["lang", "key", "at", "value"])
 
-    got = labelled.filter(pick).select("lang", F.xxhash64("doc_id").alias("key"), "text").mapInArrow(sparse, "lang string, key long, at binary, value binary").collect()
-    got = sorted(got)[: 2 * rows]
+    got = sorted(taken.select("lang", "key", "text").mapInArrow(sparse, "lang string, key long, at binary, value binary").collect())
     x = np.zeros((len(got), DIMS), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r[2], "<u2")] = np.frombuffer(r[3], "<f4")

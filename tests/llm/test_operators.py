@@ -182,6 +182,17 @@ def test_language_id(spark, docs):
     assert langid.keep_identified(df, langid.fit(df)).count() == 401
 
 
+def test_every_language_is_learned(spark):
+    """Small samples, one doc_id on many rows and texts without letters leave no language out."""
+    codes = ["aa", "de", "en", "fr", "ru", "zz"]
+    rows = [(i, f"{c} {text(i, 20)}", c, "s") for i, c in enumerate(codes * 40)]
+    rows += [(1000, f"xx {text(i, 20)}", "ab", "s") for i in range(400)] + [(i, "12 34", "de", "s") for i in range(2000, 2400)]
+    model = langid.fit(frame(spark, rows), rows=42)
+    assert sorted(c for d in model.within.values() for c in d.classes) == sorted([*codes, "ab"])
+    with pytest.raises(ValueError):
+        langid.fit(frame(spark, rows), rows=6)
+
+
 def test_features_do_not_depend_on_blocks():
     t = text(5, 500)
     assert np.allclose(langid.features(t), langid.features(t, step=97))
