@@ -102,6 +102,11 @@ def lead(signatures: np.ndarray, near: float, wide: float) -> tuple[list[int], l
     leaders, since disagreement is a metric; so whenever that is at least ``wide``, both end up in
     one component though they were not compared. Edges within a component are left out, so there are
     fewer of them than members.
+
+    That bound holds for one member dropped for a leader. Members are dropped twice, in a batch and
+    after the shuffle, and on both sides of a pair; then each of up to four steps takes 1 - ``near``
+    off, which is less than ``wide``, so a bucket may lose the edge of such a pair and the pair rests
+    on its other bands. The recall that bands are chosen for is thus that of the bands alone.
     """
     n = len(signatures)
     leaders, edges, label = np.empty(n, np.int64), [], np.arange(n)

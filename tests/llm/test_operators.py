@@ -404,6 +404,23 @@ def test_jaccard(spark, docs, monkeypatch):
     assert jaccard.join(empty(spark), s).collect() == []
 
 
+def test_jaccard_chains_over_batches(spark):
+    """Chains of near copies whose ends are no near copies, dealt over many small Arrow batches."""
+    rows = []
+    for c in range(6):
+        w = text(500 + c, 200).split()
+        for i in range(8):
+            w[20 * i + 3] = f"y{c}_{i}"
+            rows.append((10 * c + i, " ".join(w), "en", "s"))
+    rows = [rows[i] for i in np.random.default_rng(4).permutation(len(rows))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = jaccard.join(frame(spark, rows).repartition(5), Scratch(spark)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Counter(map(tuple, got)) == Counter(brute_links(rows))
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard.choose_bands(0.8, 0.9999, 128)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
