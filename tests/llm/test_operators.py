@@ -228,6 +228,21 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few) == [1, 2]
 
 
+def test_neighbours_recall_of_defaults(spark):
+    """The production parameters on clustered vectors: recall of at least 0.9 against brute force."""
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(60, 64))[rng.integers(0, 60, 3000)] + 0.7 * rng.normal(size=(3000, 64))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, Scratch(spark)).collect():
+        got[r.query_id].add(r.vec_id)
+    score = x[::20].astype(float) @ x.astype(float).T
+    score[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    hit = sum(len(got[20 * q] & set(np.argsort(-score[q])[:20].tolist())) for q in range(150))
+    assert hit >= 0.9 * 20 * 150, hit / 3000
+
+
 # -- 5 -----------------------------------------------------------------------------------------------
 
 
