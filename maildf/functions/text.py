@@ -102,17 +102,11 @@ def header_as(raw: Column | str, message: Column | str, name: str, form: str) ->
     r = F.col(raw) if isinstance(raw, str) else raw
     found = F.transform(F.filter(headers(message), _same(name)), lambda h: _cut(r, h["offset_start"], h["offset_end"]))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def texts(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else [_json(read(bytes(x), 0)[0]) for x in v] for v in values], dtype=object)
+    @F.pandas_udf(T.ArrayType(schema.VALUE))
+    def again(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else [_value(read(bytes(x), 0)[0]) for x in v] for v in values], dtype=object)
 
-    return F.transform(texts(found), lambda j: F.from_json(j, schema.VALUE))
-
-
-def _json(value: tuple) -> str:
-    import json
-
-    return json.dumps(_value(value))
+    return again(found)
 
 
 def header_name(text: Column | str) -> Column:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 #: Obsolete zone names in hours; any other name is taken as UTC.
 ZONES = {b"EDT": -4, b"EST": -5, b"CDT": -5, b"CST": -6, b"MDT": -6, b"MST": -7, b"PDT": -7, b"PST": -8}
-SIZES = (2, 2, 4, 2, 2, 2, 4)
 FIELDS = ("year", "month", "day", "hour", "minute", "second", "tz_before_gmt", "tz_hour", "tz_minute")
-_TOKEN = re.compile(rb"\n[ \t]?|[0-9]+|[A-Za-z]|[ \t]|[:+\-();\\]|[^\n0-9A-Za-z \t:+\-();\\]+")
+#: Digits of day, month, year, hour, minute, second and zone, in the order of RFC 5322.
+WIDTHS = (2, 2, 4, 2, 2, 2, 4)
+CLOCK, ZONE = (3, 4), 6
+_LEXEME = re.compile(rb"\n[ \t]?|[0-9]+|[A-Za-z]|[ \t]|[^\n0-9A-Za-z \t]")
 _LETTERS = {m[1:]: i + 1 for i, m in enumerate(MONTHS)}
 
 
@@ -17,30 +20,80 @@ def make(year: int, month: int, day: int, hour: int, minute: int, second: int, b
     return dict(zip(FIELDS, (year & 0xFFFF, month & 0xFF, day & 0xFF, hour & 0xFF, minute & 0xFF, second & 0xFF, before, tz_hour & 0xFF, tz_minute & 0xFF), strict=True))
 
 
-class _Slots:
-    """Digits gathered for day, month, year, hour, minute, second and zone, in that order."""
-
-    def __init__(self) -> None:
-        self.at, self.digits, self.closed = 0, [b""] * 7, [False] * 7
-        self.month, self.plus, self.fresh, self.idle, self.zone = b"", True, True, True, None
-
-    def feed(self, digits: bytes) -> None:
-        if self.at < 7:
-            room = SIZES[self.at] - len(self.digits[self.at])
-            if room > 0 and not self.closed[self.at]:
-                self.digits[self.at] += digits[:room]
-                self.idle = False
-        self.fresh = False
-
-    def close(self) -> None:
-        if self.at < 7:
-            self.closed[self.at] = True
-        self.at += 1
-        self.fresh = True
-
-    def number(self, i: int) -> int:
-        d = self.digits[i]
-        return int(d if self.closed[i] else d.ljust(SIZES[i], b"0")) if d else 0
+class _Lexemes:
+    """Lexemes of one field. A fold counts as a blank, a comment as its opening bracket."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at = data, at
+
+    def _raw(self) -> Iterator[bytes]:
+        while m := _LEXEME.match(self.data, self.at):
+            self.at = m.end()
+            if m[0] == b"\n":
+                return
+            yield m[0]
+
+    def __iter__(self) -> Iterator[bytes]:
+        raw = self._raw()
+        for x in raw:
+            yield b" " if x[:1] == b"\n" else x
+            if x == b"(":
+                self._comment(raw)
+
+    def _comment(self, raw: Iterator[bytes]) -> None:
+        depth = 1
+        for x in raw:
+            if x == b"\\" and self.data[self.at : self.at + 1] == b")":
+                self.at += 1
+            depth += (x == b"(") - (x == b")")
+            if not depth:
+                return
+
+    def take(self, n: int) -> bytes:
+        """The next bytes as they are, a newline among them."""
+        lo, self.at = self.at, min(len(self.data), self.at + n)
+        return self.data[lo : self.at]
+
+
+def _cells(lex: _Lexemes) -> tuple[list[bytes], bytes, int | None]:
+    """Numbers in the order of WIDTHS, letters at the month's place, and the zone as signed hours * 100 + minutes, None for "-0"."""
+    cells, month, sign, named = [b""], b"", 1, None
+    text = digits = False  # since the last break; at all
+    for x in lex:
+        place = len(cells) - 1
+        if x == b";":
+            cells, month, sign, named, text, digits = [b""], b"", 1, None, False, False
+        elif x == b"(":
+            text = False
+        elif x in b"+-":
+            sign = -1 if x == b"-" or sign < 0 else 1
+            if place < ZONE:
+                cells[place:] = [cells[place] and cells[place].ljust(WIDTHS[place], b"0"), *[b""] * (ZONE - place)]
+            elif place > ZONE:
+                cells[ZONE + 1 :] = []
+                cells[ZONE] = cells[ZONE].rjust(4, b"0")  # full: takes no more digits
+        elif x in b" \t" or x == b":" and place in CLOCK:
+            if text and digits:
+                cells.append(b"")
+                text = False
+        elif x.isdigit():
+            if place <= ZONE and (more := x[: WIDTHS[place] - len(cells[place])]):
+                cells[place] += more
+                digits = True
+            text = True
+        elif x.isalpha():
+            text = True
+            if place == 1:
+                month += x
+            elif place == ZONE:
+                named = 100 * ZONES.get(x + lex.take(2), 0)
+                sign = -1 if named < 0 else 1
+                cells.append(b"")
+                text = False
+    if cells[-1] and len(cells) <= len(WIDTHS):
+        cells[-1] = cells[-1].ljust(WIDTHS[len(cells) - 1], b"0")
+    zone = sign * (abs(named) if named is not None else int(cells[ZONE] or 0) if len(cells) > ZONE else 0)
+    return cells, month, zone if zone or sign > 0 else None
 
 
 _USUAL = re.compile(rb"[ \t]*(?:[A-Za-z]{3},[ \t]*)?([0-9]{1,2})[ \t]+[A-Za-z]([A-Za-z]{2})[ \t]+([0-9]{4})[ \t]+([0-9]{2}):([0-9]{2}):([0-9]{2})[ \t]+([+-])([0-9]{2})([0-9]{2})(?:[ \t]+\([^()\\\r\n]*\))?[ \t]*\r?\n(?![ \t])")
@@ -63,46 +116,16 @@ def parse_date(data: bytes, at: int = 0) -> tuple[dict | None, int]:
     """
     if m := _USUAL.match(data, at):
         return _usual(m), m.end()
-    s, depth = _Slots(), 0
-    while m := _TOKEN.match(data, at):
-        t, at = m[0], m.end()
-        if t[:1] == b"\n":
-            if len(t) == 1:
-                break
-            if not s.fresh and not s.idle and not depth:
-                s.close()
-        elif depth:
-            depth += (t == b"(") - (t == b")")
-            if t == b"\\" and data[at : at + 1] == b")":
-                at += 1
-        elif t.isdigit():
-            s.feed(t)
-        elif t == b"(":
-            depth, s.fresh = 1, True
-        elif t == b";":
-            s = _Slots()
-        elif t in (b"+", b"-"):
-            s.at, s.plus = 6, s.plus and t == b"+"
-        elif t in (b" ", b"\t") or t == b":" and s.at in (3, 4):
-            if not s.fresh and not s.idle:
-                s.close()
-        elif t.isalpha():
-            s.fresh = False
-            if s.at == 1:
-                s.month += t
-            if s.at == 6:
-                zone = ZONES.get(t + data[at : at + 2], 0)
-                at = min(len(data), at + 2)
-                s.plus, s.zone = zone >= 0, 100 * abs(zone)
-                s.close()
-    if s.at < 6:
-        return None, at
-    month = _LETTERS.get(s.month[1:].decode().lower(), 0) if len(s.month) == 3 else s.number(1)
+    lex = _Lexemes(data, at)
+    cells, name, zone = _cells(lex)
+    if len(cells) <= ZONE:
+        return None, lex.at
+    day, number, year, hour, minute, second = (int(c or 0) for c in cells[:ZONE])
+    month = _LETTERS.get(name[1:].decode().lower(), 0) if len(name) == 3 else number
     if not 1 <= month <= 12:
-        return None, at
-    year, zone = s.number(2), s.number(6) if s.zone is None else s.zone
+        return None, lex.at
     year += 2000 if year < 50 else 1900 if year < 100 else 0
-    return make(year, month, s.number(0), s.number(3), s.number(4), s.number(5), not s.plus, zone // 100 % 24, zone % 100 % 60), at
+    return make(year, month, day, hour, minute, second, zone is None or zone < 0, abs(zone or 0) // 100 % 24, abs(zone or 0) % 100 % 60), lex.at
 
 
 def parse_rfc822(text: str) -> dict | None:

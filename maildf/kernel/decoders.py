@@ -139,7 +139,8 @@ def quoted_printable_char(high: int, low: int) -> int | None:
 def percent_decode(data: bytes) -> tuple[bool, bytes]:
     """Percent escapes; at a bad one False and what came before it. A plus sign stays."""
     bad = re.search(rb"%(?![0-9A-Fa-f]{2})", data)
-    good = data if bad is None else data[: bad.start()]
+    good = data if bad is None else data[: bad.start()]  # every escape in it is whole
     if bad is not None and re.match(rb"%[0-9A-Fa-f]?\Z", data[bad.start() :]):
         bad = None  # an escape that the end cuts off is dropped
-    return bad is None, re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), good)
+    plain, *escaped = good.split(b"%")
+    return bad is None, b"".join([plain, *[_BYTES[x[:2]] + x[2:] for x in escaped]])

@@ -51,13 +51,13 @@ def split_lines(lines: Iterable[bytes]) -> Iterator[tuple[int, str, bytes]]:
         yield *envelope(head), b"".join(body)
 
 
-def split_mbox(data: bytes) -> Iterator[tuple[int, str, bytes]]:
-    """Messages of a whole mbox."""
+def split_mbox(data) -> Iterator[tuple[int, str, bytes]]:
+    """Messages of a whole mbox in any buffer; one message at a time is copied."""
+    data = memoryview(data)
     starts = [m.start() for m in re.finditer(rb"^From ", data, re.M)]
     for a, b in zip(starts, [*starts, len(data)][1:], strict=True):
-        end = data.find(b"\n", a, b)
-        head, body = (data[a:b], b"") if end < 0 else (data[a : end + 1], data[end + 1 : b])
-        yield *envelope(head), re.sub(rb"^>(>*From )", rb"\1", body, flags=re.M)
+        head, found, body = bytes(data[a:b]).partition(b"\n")
+        yield *envelope(head + found), re.sub(rb"^>(>*From )", rb"\1", body, flags=re.M) if b">" in body else body
 
 
 def maildir_flags(name: str) -> list[str]:

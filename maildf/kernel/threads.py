@@ -1,4 +1,8 @@
-"""Base subjects of threads."""
+"""Base subjects of threads.
+
+A subject is a row of marks and a base: ``Re:``, ``Fwd:``, ``rv[2]:``, list names in brackets, or the whole
+subject in brackets as ``[fwd: ...]``. Marks are peeled off the front, one match of the grammar each.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,9 @@ import re
 REPLY = frozenset("re res sv antw ref aw απ השב vá r rif bls odp ynt atb رد 回复 转发".split())
 FORWARD = frozenset(["fwd", "fw", "rv", "enc", "vs", "doorst", "vl", "tr", "wg", "πρθ", "הועבר", "továbbítás", "i", "fs", "trs", "vb", "pd", "i̇lt", "yml", "إعادة توجيه", "回覆", "轉寄"])
 LONGEST_PREFIX = 21
-_TOKEN = re.compile(r"[\[\]:]|\s+|[^\[\]:\s]+")
+#: A mark: maybe a word with more text behind it, then the colon that ends it or the bracket that follows it.
+_MARK = re.compile(r"\s*(?P<label>(?P<word>[^\[:\s]*)[^\[:]*)(?P<end>[\[:])")
+_BRACKETED = re.compile(r"([^\[\]]*)\]")
 _TAIL = re.compile(r"\(([^()]{2,})\)\Z", re.S)
 
 
@@ -20,94 +26,42 @@ def trim_trailing_fwd(text: str) -> str:
     return text.lstrip()
 
 
-class _Scan:
-    """Walks over the prefixes of a subject and notes where the base may begin."""
-
-    def __init__(self, text: str):
-        self.text = text
-        self.begin = 0  # behind the last prefix
-        self.blob_end = 0  # behind the last bracket before any prefix
-        self.inner: tuple[int, int] | None = None  # subject within [fwd: ...]
-        self.word: list[int] | None = None  # start and end of the first word since the last mark
-        self.blob = self.dull = self.prefixed = self.inner_prefix = False
-
-    def _prefix(self, end: int) -> str:
-        if self.word[1] < 0:
-            self.word[1] = end
-        return self.text[self.word[0] : self.word[1]].lower()
-
-    def run(self) -> None:
-        for m in _TOKEN.finditer(self.text):
-            if not self._step(m[0], m.start()):
-                return
-
-    def _step(self, token: str, at: int) -> bool:
-        if token == "[":
-            return self._open(at)
-        if token == "]" and self.blob:
-            return self._close(at)
-        if token == ":" and not self.blob:
-            return self._mark(at)
-        if token == ":" and not self.dull:
-            return self._inner_mark(at)
-        if token.isspace():
-            if self.word and self.word[1] < 0:
-                self.word[1] = at
-            return True
-        if self.word is None:
-            self.word = [at, -1]
-        last = at + len(token) - 1
-        return self.blob or len(self.text[self.word[0] : last].encode()) <= LONGEST_PREFIX
-
-    def _open(self, at: int) -> bool:
-        if self.blob:
-            return False
-        if self.word:
-            if self._prefix(at) not in REPLY | FORWARD:
-                return False
-            self.prefixed = True
-        self.word, self.blob = None, True
-        return True
-
-    def _close(self, at: int) -> bool:
-        if self.inner_prefix and self.word:
-            self.inner = self.word[0], at
-        if not self.prefixed:
-            self.blob_end = at + 1
-        self.blob = self.inner_prefix = self.dull = False
-        self.word = None
-        return True
+def _is_prefix(mark: re.Match) -> bool:
+    return mark["word"].lower() in REPLY | FORWARD and len(mark["label"].rstrip()[:-1].encode()) <= LONGEST_PREFIX
 
-    def _mark(self, at: int) -> bool:
-        if self.prefixed == bool(self.word):
-            return False
-        if not self.prefixed and self._prefix(at) not in REPLY | FORWARD:
-            return False
-        self.prefixed, self.word, self.begin = False, None, at + 1
-        return True
 
-    def _inner_mark(self, at: int) -> bool:
-        prefix = self._prefix(at) if self.word else ""
-        if prefix in FORWARD:
-            self.word, self.inner_prefix = None, True
-        elif self.inner_prefix and prefix in REPLY:
-            self.word = None
-        else:
-            self.dull = True
-        return True
+def _forwarded(content: str) -> str | None:
+    """The subject within ``[fwd: re: ...]``; None of other brackets."""
+    *labels, rest = content.split(":")
+    forward, taken = False, 0
+    for label in labels:
+        word = next(iter(label.split()), "").lower()
+        forward = forward or word in FORWARD
+        if not forward or word not in REPLY | FORWARD:
+            taken += not word
+            break
+        taken += 1
+    rest = content.split(":", taken)[-1]
+    return rest.lstrip() if forward and rest.strip() else None
 
 
 def thread_name(text: str) -> str:
     """The subject without reply and forward prefixes, list names in brackets and "(fwd)" at its end."""
-    s = _Scan(text)
-    s.run()
-    inner = s.inner[0] if s.inner else 0
-    tries = []
-    if s.blob_end > s.begin or inner > s.begin and s.blob_end > inner:
-        tries.append(text[s.blob_end :])
-    if inner > s.begin:
-        tries.append(text[s.inner[0] : s.inner[1]])
-    for t in tries:
-        if base := trim_trailing_fwd(t):
-            return base
-    return trim_trailing_fwd(text[s.begin :])
+    base, listed, inner = text, None, None  # behind the last prefix; behind list names since then; from [fwd: ...]
+    at, numbered = 0, False
+    while mark := _MARK.match(text, at):
+        if mark["word"] and not _is_prefix(mark) or mark["end"] == ":" and numbered == bool(mark["word"]):
+            break
+        at = mark.end()
+        if mark["end"] == ":":
+            base, listed, inner, numbered = text[at:], None, None, False
+            continue
+        numbered = numbered or bool(mark["word"])
+        brackets = _BRACKETED.match(text, at)
+        if not brackets:
+            break
+        at = brackets.end()
+        inner = _forwarded(brackets[1]) or inner
+        listed = listed if numbered else text[at:]
+    names = (trim_trailing_fwd(x) for x in (listed, inner, base) if x is not None)
+    return next((n for n in names if n), "")

@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 
 def link_replies(mail: DataFrame) -> DataFrame:
-    """Each message of ``(message_id, in_reply_to, ...)`` with its parent's columns as ``parent_*``; null for orphans."""
-    parent = mail.select(*[F.col(c).alias(f"parent_{c}") for c in mail.columns])
-    return mail.join(parent, F.col("in_reply_to") == F.col("parent_message_id"), "left")
+    """Each message of ``(message_id, in_reply_to, ...)`` with its parent's columns as ``parent_*``; null for orphans.
+
+    Mail that answers nothing, most of it, is dealt by a salt that no parent has, so that null is no key that
+    one task gets.
+    """
+    parent = mail.select(*[F.col(c).alias(f"parent_{c}") for c in mail.columns]).filter("parent_message_id IS NOT NULL").withColumn("__none", F.lit(0))
+    salt = F.when(F.col("in_reply_to").isNotNull(), 0).otherwise(F.pmod(F.xxhash64("message_id"), F.lit(4096)).cast("int") + 1)
+    keyed = mail.withColumns({"__key": F.coalesce("in_reply_to", F.lit("")), "__salt": salt})
+    return keyed.join(parent, (F.col("__key") == F.col("parent_message_id")) & (F.col("__salt") == F.col("__none")), "left").drop("__key", "__salt", "__none")
 
 
 def daily_counts(mail: DataFrame) -> DataFrame:

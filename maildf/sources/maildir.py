@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..kernel import mailbox
 
-SCHEMA = "folder string, path string, internal_date long, flags array<string>, raw binary"
+SCHEMA = "folder string, path string, internal_date long, flags array<string>, raw binary, error string"
 _SKIPPED = ("cur", "new", "tmp")
 
 
@@ -56,6 +57,7 @@ class _MaildirReader(DataSourceReader):
         self.path = options["path"].removeprefix("file://")
         self.prefix = None if options.get("layout", "maildir++") == "fs" else "."
         self.files = int(options.get("filesperpartition", 2000))
+        self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
 
     def partitions(self) -> list[_Files]:
         out = []
@@ -65,13 +67,29 @@ class _MaildirReader(DataSourceReader):
         return out or [_Files(None, [])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
-        for name in partition.names:
-            with open(name, "rb") as f:
-                yield partition.folder, name, int(os.stat(name).st_mtime), mailbox.maildir_flags(os.path.basename(name)), f.read()
+        for listed in partition.names:
+            name = listed if os.path.exists(listed) else self._moved(listed)
+            flags = mailbox.maildir_flags(os.path.basename(name))
+            try:
+                with open(name, "rb") as f:
+                    yield partition.folder, name, int(os.fstat(f.fileno()).st_mtime), flags, f.read(), None
+            except OSError as e:
+                if self.strict:
+                    raise
+                yield partition.folder, name, None, flags, None, str(e)
+
+    @staticmethod
+    def _moved(listed: str) -> str:
+        """Where a mail is now that its reader has seen it or changed its flags since the listing."""
+        top, unique = os.path.dirname(os.path.dirname(listed)), os.path.basename(listed).partition(":2,")[0]
+        return next(iter(sorted(glob.glob(os.path.join(glob.escape(top), "cur", glob.escape(unique) + ":2,*")))), listed)
 
 
 class MaildirDataSource(DataSource):
-    """``spark.read.format("maildir").load(path)`` of a mounted file system; options layout (maildir++ or fs) and filesPerPartition."""
+    """``spark.read.format("maildir").load(path)`` of a mounted file system; options layout (maildir++ or fs), filesPerPartition and mode.
+
+    Mode PERMISSIVE gives a row with ``error`` and no bytes for a mail that can't be read, FAILFAST ends the job.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -112,11 +130,12 @@ def read_maildir(spark: SparkSession, path: str, prefix: str | None = ".") -> Da
                 walk(subs[n], [*names, n.removeprefix(prefix or "")])
 
     walk(p, [])
-    out = None
-    for folder, top in found:
-        rows = _shape(spark.read.format("binaryFile").load([f"{top}/cur", f"{top}/new"])).select(F.lit(folder).cast("string").alias("folder"), "*")
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    if not found:
+        return spark.createDataFrame([], SCHEMA)
+    names = spark.createDataFrame([(fs.makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)).toString(), name) for name, top in found], "top string, folder string")
+    rows = _shape(spark.read.format("binaryFile").load([f"{top}/{sub}" for _, top in found for sub in ("cur", "new")]))
+    rows = rows.withColumn("top", F.regexp_extract("path", "^(.*)/[^/]*/[^/]*$", 1)).join(F.broadcast(names), "top", "left")  # a row a folder, listed on the driver
+    return rows.select("folder", "path", "internal_date", "flags", "raw", F.lit(None).cast("string").alias("error"))
 
 
 def stream_maildir(spark: SparkSession, path: str) -> DataFrame:

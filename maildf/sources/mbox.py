@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..kernel import mailbox
 
-SCHEMA = "path string, seq long, internal_date long, envelope_from string, raw binary"
+SCHEMA = "path string, seq long, internal_date long, envelope_from string, raw binary, error string"
 
 
 def split_mbox(df: DataFrame, column: str, flush: int = 4 << 20) -> DataFrame:
@@ -35,9 +35,9 @@ def split_mbox(df: DataFrame, column: str, flush: int = 4 << 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                data = b.column(b.num_columns - 1)[i].as_py()
+                data = b.column(b.num_columns - 1)[i]
                 held, size, seq = [], 0, 0
-                for message in mailbox.split_mbox(data or b""):
+                for message in mailbox.split_mbox(data.as_buffer() if data.is_valid else b""):
                     held.append((seq, *message))
                     size += len(message[2])
                     seq += 1
@@ -51,9 +51,9 @@ def split_mbox(df: DataFrame, column: str, flush: int = 4 << 20) -> DataFrame:
 
 
 def _rows(batch: pa.RecordBatch, i: int, held: list[tuple], names: list[str]) -> pa.RecordBatch:
-    again = batch.take(pa.array([i] * len(held)))
+    again = pa.array([i] * len(held))
     seq, date, sender, raw = zip(*held, strict=True)
-    return pa.RecordBatch.from_arrays([*again.columns[:-1], pa.array(seq, pa.int64()), pa.array(date, pa.int64()), pa.array(sender, pa.string()), pa.array(raw, pa.binary())], names)
+    return pa.RecordBatch.from_arrays([*(c.take(again) for c in batch.columns[:-1]), pa.array(seq, pa.int64()), pa.array(date, pa.int64()), pa.array(sender, pa.string()), pa.array(raw, pa.binary())], names)
 
 
 def _binary(spark: SparkSession, path: str | list[str], recursive: bool) -> DataFrame:
@@ -93,10 +93,12 @@ class _MboxReader(DataSourceReader):
     def read(self, partition: _Range) -> Iterator[tuple]:
         try:
             with open(partition.path, "rb") as f:
-                yield from self._messages(f, partition)
-        except OSError:
+                for row in self._messages(f, partition):
+                    yield *row, None
+        except OSError as e:
             if self.strict:
                 raise
+            yield partition.path, None, None, None, None, str(e)
 
     @staticmethod
     def _messages(f, part: _Range) -> Iterator[tuple]:
@@ -123,7 +125,10 @@ class _MboxReader(DataSourceReader):
 
 
 class MboxDataSource(DataSource):
-    """``spark.read.format("mbox").load(path or glob)``; options splitBytes and mode (PERMISSIVE or FAILFAST)."""
+    """``spark.read.format("mbox").load(path or glob)``; options splitBytes and mode.
+
+    Mode PERMISSIVE gives a row with ``error`` and no message where a range can't be read to its end, FAILFAST ends the job.
+    """
 
     @classmethod
     def name(cls) -> str:
