@@ -1,4 +1,4 @@
-"""Shared helpers: scratch tables, skew-safe lookups, components, word hashing."""
+"""Shared helpers: scratch tables, row numbers, skew-safe lookups, components, word hashing."""
 
 from __future__ import annotations
 
@@ -11,7 +11,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JNetworkError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: the only characters that separate words or are dropped in normalised text.
@@ -31,12 +33,18 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: list[str] = []
+        self.tables: list[str] = []
         _OPEN.append(self)
 
     def _base(self) -> str:
-        base = self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        sc = self.spark.sparkContext
+        base = self.spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not base:  # only where none is set, as in tests
-            base = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="maildf-"))
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            if "dir" not in _LOCAL:
+                _LOCAL["dir"] = tempfile.mkdtemp(prefix="maildf-")
+            base = _LOCAL["dir"]
         return base.rstrip("/")
 
     def path(self, name: str = "t") -> str:
@@ -50,9 +58,20 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(p)
         return self.spark.read.schema(df.schema).parquet(p)
 
+    def bucketed(self, df: DataFrame, key: str, buckets: int, name: str = "t") -> DataFrame:
+        """Write ``df`` bucketed and sorted by ``key``, so that joins on it need not move it."""
+        p = self.path(name)
+        table = p.rsplit("/", 1)[1].replace("-", "_")
+        df.write.option("compression", "zstd").option("path", p).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def drop(self) -> None:
         paths, self.paths = self.paths, []
-        _delete(self.spark, paths)
+        tables, self.tables = self.tables, []
+        _delete(self.spark, paths, tables)
+        if self in _OPEN:
+            _OPEN.remove(self)
 
 
 _OPEN: list[Scratch] = []
@@ -65,18 +84,54 @@ def release() -> None:
         _OPEN.pop().drop()
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def _delete(spark: SparkSession, paths: list[str], tables: list[str]) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is None:  # the session has ended
+        return
     try:
-        sc = spark.sparkContext
-        if sc._jsc is None:
-            return
+        for t in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
         for p in paths:
             path = sc._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session has ended; its folder goes with it
+    except (Py4JNetworkError, ConnectionError):  # the JVM is gone
         return
 
 
+#: More input files than this are rewritten before rows are numbered; so the list of files that is broadcast stays below 2**20 rows.
+MOST_FILES = 1 << 20
+
+
+def numbered(docs: DataFrame, scratch: Scratch, columns: list[Column], name: str) -> DataFrame:
+    """``columns`` of ``docs`` and a long ``name`` that is the row's own: its file's number and its place in that file.
+
+    The number does not depend on how files are split into tasks, so it is the same whenever the frame is
+    evaluated again, after an executor is lost or on another number of cores. A frame that is no plain scan of
+    Parquet files is written to ``scratch`` first.
+    """
+    found = _scanned(docs, columns)
+    if found is None:
+        stored = scratch.table(docs.select(*columns), "rows")
+        found = _scanned(stored, [F.col(f"`{c}`") for c in stored.columns])
+    rows, files = found
+    number = docs.sparkSession.createDataFrame(list(enumerate(files)), "__no long, __file string")
+    return rows.join(F.broadcast(number), "__file").withColumn(name, F.shiftleft("__no", 40) + F.col("__at")).drop("__no", "__file", "__at")
+
+
+def _scanned(docs: DataFrame, columns: list[Column]) -> tuple[DataFrame, list[str]] | None:
+    """Rows with file and place, and the files in order; None where ``docs`` is no plain scan or has too many files."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return None
+    try:
+        meta = docs.metadataColumn("_metadata")
+        rows = docs.select(*columns, meta["file_path"].alias("__file"), meta["row_index"].alias("__at"))
+    except AnalysisException:
+        return None
+    files = docs.select(meta["file_path"].alias("__file")).distinct()
+    listed = [r[0] for r in files.limit(MOST_FILES + 1).collect()]
+    return None if len(listed) > MOST_FILES else (rows, sorted(listed))
+
+
 def lookup(left: DataFrame, facts: DataFrame, key: str, rows: str, share: int = 1000) -> DataFrame:
     """Left-join ``facts`` (one row a key) to ``left`` without gathering a hot key in one task.
 
@@ -100,23 +155,28 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     round is a pre-aggregated minimum and a skew-safe lookup; nothing goes to the driver but the
     count and checksum of the edges.
     """
-    e = scratch.table(edges.filter("u <> v").select("u", "v").distinct(), "edges")
+    held = Scratch(scratch.spark)
+    e = held.table(edges.filter("u <> v").select("u", "v").distinct(), "edges")
     seen = None
     while True:
+        before, held = held, Scratch(scratch.spark)
         sym = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        low = scratch.table(low, "stars")
+        low = held.table(low, "stars")
         large = lookup(sym, low, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.table(large.distinct(), "large")
-        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "stars")
+        large = held.table(large.distinct(), "large")
+        low = held.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "stars")
         small = lookup(large, low, "u", "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = scratch.table(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        e = held.table(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        before.drop()
         if now == seen:
             break
         seen = now
     roots = e.select(F.col("v").alias("node")).distinct()
-    return scratch.table(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root"))), "roots")
+    out = scratch.table(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root"))), "roots")
+    held.drop()
+    return out
 
 
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

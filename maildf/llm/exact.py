@@ -1,9 +1,10 @@
 """Exact deduplication: static binary-fuse filters per immutable snapshot screen incoming digests.
 
-The digests of a snapshot are grouped once and each bucket of them gets a binary-fuse filter, about
-18 bits a digest. An incoming batch is grouped by itself; its digests are screened by the filters,
-and only positives join the snapshot's exact groups, where full digest, byte length and a second
-hash must agree. Negatives are certain to be new.
+A snapshot is written once: its distinct texts in exact buckets of their digests, and for each bucket
+a binary-fuse filter of about 18 bits a digest. An incoming batch is grouped by itself; its digests are screened by
+the filters, and only positives join the snapshot's buckets, where the bytes are compared. Negatives
+are certain to be new. Within a group bytes are compared too, as its least and greatest text. Should
+two texts share a digest, their keys are drawn out by the texts themselves and the work is done again.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, Scratch, lookup, mix, runs
+from .common import SPACE_CHARS, Scratch, lookup, mix, numbered, runs
 
 
 class BinaryFuse:
@@ -91,73 +92,105 @@ def normalised(text: Column) -> Column:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    best = F.max(F.struct("n", (-F.col("doc_id")).alias("neg"), (-F.col("uid")).alias("row"))).alias("best")
-    return rows.groupBy("digest").agg(best, F.count(F.lit(1)).alias("size"))
+    """One row a key: its best row, its number of rows, its least text and whether all its texts are that one."""
+    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "uid")).alias("best")
+    return rows.groupBy("key").agg(best, F.count(F.lit(1)).alias("size"), F.min("t").alias("t"), (F.min("t") == F.max("t")).alias("same"))
 
 
 def snapshot_filters(groups: DataFrame, buckets: int) -> DataFrame:
-    """One filter a bucket of a snapshot's groups: (bucket, filter)."""
+    """One filter a bucket of a snapshot's keys: (bucket, filter)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "bucket"):
-            keys = np.array(t.column("key").to_pylist(), dtype=np.int64).view(np.uint64)
+            keys = np.array(t.column("print").to_pylist(), dtype=np.int64).view(np.uint64)
             yield pa.record_batch([pa.array([t.column("bucket")[0].as_py()], pa.int32()), pa.array([BinaryFuse.build(keys).dump()], pa.binary())], ["bucket", "filter"])
 
-    keyed = groups.select(_bucket(buckets), _key())
+    keyed = groups.select(_bucket(buckets), _print())
     return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(build, "bucket int, filter binary")
 
 
-def _key() -> Column:
-    return F.xxhash64("digest").alias("key")
+def _print() -> Column:
+    return F.xxhash64("key").alias("print")
 
 
 def _bucket(buckets: int) -> Column:
-    return F.pmod(F.hash("digest"), F.lit(buckets)).alias("bucket")
+    """The bucket that Spark's bucketed tables give a key."""
+    return F.pmod(F.hash("key"), F.lit(buckets)).alias("bucket")
 
 
 def screen(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """Digests of ``groups`` that a filter lets through: all that the snapshot holds, and about 1 in 65,000 others."""
+    """Keys of ``groups`` that a filter lets through: all that the snapshot holds, and about 1 in 65,000 others."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "bucket"):
-            held = [x for x in t.column("filter").to_pylist() if x is not None]
-            rows = t.filter(pa.compute.is_valid(t.column("key")))
-            if held and rows.num_rows:
-                keys = np.array(rows.column("key").to_pylist(), dtype=np.int64).view(np.uint64)
-                yield from rows.filter(pa.array(BinaryFuse.load(held[0]).contains(keys))).select(["digest"]).combine_chunks().to_batches()
-
-    asked = groups.select(_bucket(buckets), _key(), F.col("digest"), F.lit(None).cast("binary").alias("filter"))
-    known = filters.select("bucket", F.lit(None).cast("long").alias("key"), F.lit(None).cast(groups.schema["digest"].dataType).alias("digest"), "filter")
-    return asked.unionByName(known).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(probe, asked.select("digest").schema)
-
-
-def dedup(docs: DataFrame, scratch: Scratch, incoming: Column | None = None, bucket_keys: int = 50_000) -> DataFrame:
+        bucket, held = None, None
+        for b in batches:  # a bucket's filter comes before its keys
+            for i in np.flatnonzero(pa.compute.is_valid(b.column("filter")).to_numpy(zero_copy_only=False)).tolist():
+                bucket, held = b.column("bucket")[i].as_py(), (held or {})
+                held[bucket] = BinaryFuse.load(b.column("filter")[i].as_py())
+            at, prints = b.column("bucket").to_numpy(), b.column("print").fill_null(0).to_numpy().view(np.uint64)
+            asked, hit = pa.compute.is_valid(b.column("key")).to_numpy(zero_copy_only=False), np.zeros(b.num_rows, bool)
+            for k in np.unique(at[asked]).tolist():
+                rows = np.flatnonzero(asked & (at == k))
+                if held and k in held:
+                    hit[rows] = held[k].contains(prints[rows])
+            yield b.filter(pa.array(hit)).select(["key"])
+            if held and b.num_rows:
+                held = {k: f for k, f in held.items() if k >= at[-1]}
+
+    none = F.lit(None)
+    asked = groups.select(_bucket(buckets), F.lit(1).alias("turn"), _print(), "key", none.cast("binary").alias("filter"))
+    known = filters.select("bucket", F.lit(0).alias("turn"), none.cast("long").alias("print"), none.cast("binary").alias("key"), "filter")
+    return asked.unionByName(known).repartition("bucket").sortWithinPartitions("bucket", "turn").mapInArrow(probe, "key binary")
+
+
+class Snapshot:
+    """The stored texts of a corpus, written once: exact buckets of (key, best, size, t) and their filters."""
+
+    def __init__(self, rows: DataFrame, scratch: Scratch):
+        self.buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.texts = scratch.bucketed(_groups(rows), "key", self.buckets, "snapshot")
+        self.filters = scratch.table(snapshot_filters(self.texts, self.buckets), "filters")
+
+    def known(self, batch: DataFrame, scratch: Scratch) -> DataFrame:
+        """Groups of a batch whose key the snapshot holds: (key, new_best, new_size, equal); ``equal``: the bytes agree."""
+        positive = scratch.table(screen(batch, self.filters, self.buckets), "positive")
+        asked = batch.join(positive, "key", "left_semi").select("key", F.col("best").alias("new_best"), F.col("size").alias("new_size"), F.col("t").alias("new_t"))
+        met = asked.hint("merge").join(self.texts.select("key", "t"), "key")  # only positives are moved
+        return scratch.table(met.select("key", "new_best", "new_size", (F.col("t") == F.col("new_t")).alias("equal")), "known")
+
+
+def dedup(docs: DataFrame, scratch: Scratch, incoming: Column | None = None, row: str | None = None, key_bytes: int = 16) -> DataFrame:
     """Groups of equal texts: uid, doc_id, keep_id, group_size, kept, text_sha256, one row a row of ``docs``.
 
     ``incoming`` marks the rows of the new batch, the rest are the snapshot; by default a quarter of
-    all rows, chosen by a hash of doc_id. The answer does not depend on the choice.
+    all rows, chosen by a hash of doc_id. The answer does not depend on the choice, nor on
+    ``key_bytes``, the bytes of SHA-256 that serve as key: bytes of texts decide.
 
     Texts are equal when they agree without the characters ``[\\x20\\x09-\\x0D]``; null counts as
     empty. The row with the most code points stays, then the smallest doc_id (null last), then the
-    first row, so of repeated rows exactly one stays. ``uid`` is ``monotonically_increasing_id()`` of the
-    input: over a plain scan the same column can be added again to join verdicts back to rows.
-    Other columns are not read; an empty table gives no rows.
+    first row, so of repeated rows exactly one stays. ``uid`` is the column ``row`` of ``docs``, which must be
+    each row's own and stored; without one, rows are numbered. Texts of any length are moved whole, once for each
+    task that holds them. Other columns are not read; an empty table gives no rows.
     """
     if incoming is None:
         incoming = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 3
-    text = normalised(F.col("text"))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).alias("n"), text.alias("t"), F.coalesce(incoming, F.lit(False)).alias("incoming"))
-    # a digest is the full SHA-256 with the byte length and a second, independent hash of the bytes
-    digest = F.struct(F.unhex(F.sha2("t", 256)).alias("sha"), F.octet_length("t").alias("bytes"), F.xxhash64("t").alias("second")).alias("digest")
-    rows = scratch.table(rows.select("uid", "doc_id", "n", "incoming", digest), "digests")
-    old = scratch.table(_groups(rows.filter(~F.col("incoming"))), "snapshot")
-    buckets = max(1, -(-old.count() // bucket_keys))
-    filters = scratch.table(snapshot_filters(old, buckets), "filters")
-    new = scratch.table(_groups(rows.filter("incoming")), "batch")
-    positive = scratch.table(screen(new, filters, buckets), "positive")
-    known = new.join(positive, "digest", "left_semi").select("digest", F.col("best").alias("new_best"), F.col("size").alias("new_size"))
-    merged = old.join(known, "digest", "left").select("digest", F.greatest("best", "new_best").alias("best"), (F.col("size") + F.coalesce("new_size", F.lit(0))).alias("size"))
-    fresh = new.join(old.select("digest").join(positive, "digest", "left_semi"), "digest", "left_anti")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(incoming, F.lit(False)).alias("incoming")]
+    rows = docs.select(*columns, F.col(row).alias("uid")) if row else numbered(docs, scratch, columns, "uid")
+    rows = rows.select("uid", "doc_id", "incoming", F.coalesce(F.length("text"), F.lit(0)).alias("n"), normalised(F.col("text")).alias("t"))
+    rows = rows.withColumn("sha", F.unhex(F.sha2("t", 256))).withColumn("key", F.substring("sha", 1, key_bytes))
+    while True:
+        facts = scratch.table(rows.select("uid", "doc_id", "sha", "key"), "digests")
+        old = Snapshot(rows.filter(~F.col("incoming")), scratch)
+        new = scratch.table(_groups(rows.filter("incoming")), "batch")
+        known = old.known(new, scratch)
+        mixed = old.texts.filter("NOT same").select("key").union(new.filter("NOT same").select("key")).union(known.filter("NOT equal").select("key"))
+        if not mixed.head(1):
+            break
+        mixed = scratch.table(mixed.distinct().withColumn("mixed", F.lit(True)), "mixed")
+        rows = rows.join(mixed, "key", "left").withColumn("key", F.when(F.col("mixed"), F.concat("sha", F.lit(b":"), F.col("t").cast("binary"))).otherwise(F.col("key"))).drop("mixed")
+    merged = old.texts.select("key", "best", "size").join(known, "key", "left")
+    merged = merged.select("key", F.least("best", "new_best").alias("best"), (F.col("size") + F.coalesce("new_size", F.lit(0))).alias("size"))
+    fresh = new.select("key", "best", "size").join(known.select("key"), "key", "left_anti")
     groups = scratch.table(merged.unionByName(fresh), "groups")
-    out = lookup(rows, groups, "digest", "size")
-    return out.select("uid", "doc_id", (-F.col("best.neg")).alias("keep_id"), F.col("size").alias("group_size"), (F.col("uid") == -F.col("best.row")).alias("kept"), F.lower(F.hex("digest.sha")).alias("text_sha256"))
+    out = lookup(facts, groups, "key", "size")
+    return out.select("uid", "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("uid") == F.col("best.uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

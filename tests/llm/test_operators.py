@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maildf.llm import exact, jaccard, langid, licences, mixing, neighbours, packing, separators, substrings, warc
-from maildf.llm.common import Scratch, components, lookup
+from maildf.llm.common import Scratch, components, lookup, numbered
 from maildf.llm.tokens import encode
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid long, digest string, queue string, bucket int, rid string, u string, v long, n int, copy int, `key` string, task string"
@@ -297,7 +297,7 @@ def test_exact_dedup(spark, docs):
     for r in corpus():
         groups[re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")].append((len(r[1] or ""), r[0]))
     for incoming in (None, F.lit(True), F.lit(False), F.col("doc_id") % 2 == 0):
-        got = exact.dedup(docs, s, incoming, bucket_keys=7).collect()
+        got = exact.dedup(docs, s, incoming).collect()
         assert len(got) == len(corpus()) and len({r.uid for r in got}) == len(got)
         for norm, members in groups.items():
             sha = hashlib.sha256(norm.encode()).hexdigest()
@@ -310,6 +310,32 @@ def test_exact_dedup(spark, docs):
     assert exact.dedup(empty(spark), s).collect() == []
 
 
+@pytest.mark.parametrize("key_bytes", [0, 1])
+def test_exact_dedup_compares_bytes(spark, key_bytes):
+    """All texts or many share a key: in the snapshot, in the batch and between them."""
+    rows = [(i, f"text {i % 40}", "", "") for i in range(100)]
+    got = exact.dedup(frame(spark, rows), Scratch(spark), F.col("doc_id") % 3 == 0, key_bytes=key_bytes).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(i, i % 40, 3 if i % 40 < 20 else 2, i < 40) for i in range(100)}
+
+
+def test_exact_dedup_of_extreme_and_equal_ids(spark):
+    least = -(2**63)
+    rows = [(least, "a", "", ""), (least + 1, "a", "", ""), (None, "a", "", ""), *[(5, "b", "", "")] * 3000, *[(None, "c", "", "")] * 3000]
+    got = exact.dedup(frame(spark, rows), Scratch(spark)).collect()
+    assert Counter((r.keep_id, r.group_size, r.kept) for r in got) == {(least, 3, True): 1, (least, 3, False): 2, (5, 3000, True): 1, (5, 3000, False): 2999, (None, 3000, True): 1, (None, 3000, False): 2999}
+
+
+def test_row_numbers_do_not_depend_on_splits(spark, tmp_path):
+    spark.range(20_000).selectExpr("id", "repeat(cast(id AS string), 20) AS text").repartition(3).write.parquet(str(tmp_path / "t"))
+    seen = []
+    for size in ("134217728", "20000", "7000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = numbered(spark.read.parquet(str(tmp_path / "t")), Scratch(spark), [F.col("id")], "row")
+        seen.append(sorted((r.row, r.id) for r in rows.collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] == seen[2] and len({r for r, _ in seen[0]}) == 20_000
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 10, 1000, 30_000])
 def test_binary_fuse(n):
     rng = np.random.default_rng(n)
@@ -386,7 +412,8 @@ def test_warc_archive_round_trip():
 
 
 def brute_links(rows, threshold=0.8):
-    sets = [frozenset(jaccard.ngrams(r[1]).tolist()) for r in rows]
+    words = [[w for w in re.split(r"[\x20\x09-\x0D]+", (r[1] or "").lower()) if w] for r in rows]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
     links, root = [0] * len(rows), list(range(len(rows)))
 
     def find(x):
@@ -415,10 +442,18 @@ def test_jaccard(spark, docs, monkeypatch):
     want = Counter(brute_links(corpus()))
     assert Counter(map(tuple, jaccard.join(docs, s).collect())) == want
     monkeypatch.setattr(jaccard, "BLOCK", 3)  # components of several blocks
-    assert Counter(map(tuple, jaccard.join(docs, s).collect())) == want
+    monkeypatch.setattr(jaccard, "CROWD", 3)  # bands of several blocks
+    assert Counter(map(tuple, jaccard.join(docs.repartition(12), s).collect())) == want
     assert jaccard.join(empty(spark), s).collect() == []
 
 
+def test_jaccard_of_null_and_equal_ids(spark):
+    """Thousands of rows that share an id, or have none, are as many rows as any."""
+    rows = [(None if i < 3000 else 5, f"{text(i // 2, 60)} {'x' if i % 2 else 'y'}", "", "") for i in range(6000)]
+    got = jaccard.join(frame(spark, rows), Scratch(spark)).collect()
+    assert Counter(map(tuple, got)) == {(None, None, 2, 1): 3000, (5, 5, 2, 1): 3000}
+
+
 def test_jaccard_chains_over_batches(spark):
     """Chains of near copies whose ends are no near copies, dealt over many small Arrow batches."""
     rows = []
