@@ -5,7 +5,10 @@
 2. Classes are shuffled on their band hashes. Within a bucket, leaders stand for their surroundings:
    a member is compared to the leaders, by short signatures, instead of to every other member. Batches
    do the same before the shuffle, so a bucket receives few rows from each batch however many copies
-   there are. Of the edges found together only a spanning forest goes on. The result is a sparse graph whose components hold every candidate pair.
+   there are. A bucket that stays large, as leaders of unlike texts do, is split into blocks that meet in pairs, one
+   task each. Of the edges found together only a spanning forest goes on. The result is a sparse graph whose
+   components hold every candidate pair. Members are linked from an agreement of ``wide`` (0.35) on, far below the
+   threshold, so that no pair is lost to its leaders; templated texts may therefore share a component and be verified.
 3. The members of a component meet in blocks and every pair of a block is verified on the full n-gram
    sets. A block gives counts of links and a spanning forest of its links, never the pairs.
 """
@@ -21,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, lookup, mix, runs, slices, word_hashes, words_of
+from .common import Scratch, components, lookup, mix, numbered, runs, slices, word_hashes, words_of
 
 BLOCK = 512
+#: A band hash that more members than this share meets in pairs of blocks of about half as many.
+CROWD = 20_000
 
 
 def choose_bands(threshold: float, recall: float = 0.9999, hashes: int = 128) -> tuple[int, int]:
@@ -67,8 +72,8 @@ def _unpack(signatures: list[bytes]) -> np.ndarray:
     return np.concatenate([packed >> 4, packed & 15], axis=1)
 
 
-def sketches(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """doc_id, digest of the set (null without words), signature of four bits a hash, band hashes."""
+def sketches(texts: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
+    """row, doc_id, digest of the set (null without words), signature of four bits a hash, band hashes."""
     hashes = bands * rows
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +94,9 @@ def sketches(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
                 digest.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
                 signature.append((nibbles[:half] << 4 | nibbles[half:]).tobytes())
                 band.append(code.view(np.int64))
-            yield pa.record_batch([b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "digest", "signature", "bands"])
+            yield pa.record_batch([b.column("row"), b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["row", "doc_id", "digest", "signature", "bands"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(sketch, "doc_id long, digest binary, signature binary, bands array<long>")
+    return texts.select("row", "doc_id", "text").mapInArrow(sketch, "row long, doc_id long, digest binary, signature binary, bands array<long>")
 
 
 def lead(signatures: np.ndarray, near: float, wide: float) -> tuple[list[int], list[tuple[int, int]]]:
@@ -175,7 +179,7 @@ def _spans(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Tab
         yield full, np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k))
 
 
-def candidate_edges(classes: DataFrame, near: float, wide: float) -> DataFrame:
+def candidate_edges(classes: DataFrame, near: float, wide: float, scratch: Scratch) -> DataFrame:
     """Edges (u, v) between digests of classes ``(digest, signature, bands)`` that share a bucket."""
     names = ["band", "u", "v", "signature"]
     types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -206,7 +210,7 @@ def candidate_edges(classes: DataFrame, near: float, wide: float) -> DataFrame:
                 yield pa.record_batch([spread, u, v, pa.nulls(len(u), pa.binary())], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, cuts in _spans(batches, "band"):
+        for t, cuts in _spans(batches, "task"):
             done = t.filter(pa.compute.is_valid(t.column("v"))).select(["u", "v"])
             yield from done.to_batches()
             out = []
@@ -220,7 +224,19 @@ def candidate_edges(classes: DataFrame, near: float, wide: float) -> DataFrame:
                 yield pa.record_batch([pa.array(x, pa.binary()) for x in zip(*forest(out), strict=True)], ["u", "v"])
 
     dealt = classes.select("digest", "signature", "bands").mapInArrow(local, "band long, u binary, v binary, signature binary")
-    return dealt.repartition("band").sortWithinPartitions("band").mapInArrow(meet, "u binary, v binary")
+    dealt = scratch.table(dealt, "dealt")
+    crowds = dealt.filter("v IS NULL").groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
+    crowds = scratch.table(crowds, "crowds")
+    plain = dealt.select(F.col("band").alias("task"), "u", "v", "signature")
+    if crowds.head(1):
+        blocks = F.ceil(F.col("n") / F.lit(CROWD / 2)).cast("int")
+        met = dealt.join(crowds, "band").filter("v IS NULL").withColumn("mine", F.pmod(F.xxhash64("u"), blocks).cast("int"))
+        met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).filter("mine <> other")
+        met = met.select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "u", "v", "signature")
+        found = dealt.filter("v IS NOT NULL")
+        rest = dealt.filter("v IS NULL").join(crowds, "band", "left_anti").unionByName(found)
+        plain = rest.select(F.col("band").alias("task"), "u", "v", "signature").unionByName(met)
+    return plain.repartition("task").sortWithinPartitions("task").mapInArrow(meet, "u binary, v binary")
 
 
 def verify(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float, columns: int = 8192) -> np.ndarray:
@@ -261,23 +277,20 @@ def _forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def links(docs: DataFrame, classes: DataFrame, roots: DataFrame, scratch: Scratch, threshold: float, n: int) -> DataFrame:
+def links(texts: DataFrame, classes: DataFrame, roots: DataFrame, scratch: Scratch, threshold: float, n: int) -> DataFrame:
     """Verify all pairs of each candidate component: rows (u, count) of links and rows (u, v) of spanning forests."""
     per = scratch.table(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
     members = lookup(roots, per, "root", "n").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.select(F.col("node").alias("digest"), "root", "blocks").join(classes.select("digest", "doc_id", "size"), "digest")
+    members = members.select(F.col("node").alias("digest"), "root", "blocks").join(classes.select("digest", "row", "size"), "digest")
     members = scratch.table(members, "members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     # The same plan at every size: a broadcast of the members would work on small inputs only.
-    found = members.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("id"))).select("digest", "root", "blocks", "size", "text")
+    found = members.hint("merge").join(texts.select("row", "text"), "row").select("digest", "root", "blocks", "size", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1_000_000):
             out = []
             for digest, root, blocks, size, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = ngrams(text, n).tobytes()
-                if hashlib.blake2b(raw, digest_size=16).digest() != digest:
-                    continue  # another row of the same doc_id
                 mine = int.from_bytes(digest[-4:], "little") % blocks
                 out.extend((f"{root.hex()}/{min(mine, x)}/{max(mine, x)}", mine, digest, size, raw) for x in range(blocks))
             for lo in range(0, len(out), 256):
@@ -319,7 +332,7 @@ def _links(held: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["u", "v", "count"])
 
 
-def join(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, hashes: int = 128) -> DataFrame:
+def join(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, hashes: int = 128, row: str | None = None) -> DataFrame:
     """Similarity classes of rows whose sets of word n-grams have a Jaccard index of at least ``threshold``.
 
     Rows: doc_id, class_id, class_size, n_links. ``n_links`` counts the other rows that reach the
@@ -327,20 +340,23 @@ def join(docs: DataFrame, scratch: Scratch, threshold: float = 0.8, n: int = 5,
     ``class_size`` its number of rows. Words are cut at ASCII white space and compared in lower case.
 
     Null and empty texts have no n-grams: each such row is a class of its own without links. A text of
-    fewer than ``n`` words has one n-gram, all its words. Rows that repeat a doc_id each count; a null
-    doc_id is never the smallest unless there is no other. Other columns are not read; an empty table
-    gives no rows.
+    fewer than ``n`` words has one n-gram, all its words. Texts of any length are compared whole. Rows that repeat
+    a doc_id each count; a null doc_id is never the smallest unless there is no other. Rows are told apart
+    by the column ``row`` of ``docs``, which must be each row's own and stored, or are numbered. Other columns are
+    not read; an empty table gives no rows.
     """
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    texts = docs.select(*columns, F.col(row).alias("row")) if row else numbered(docs, scratch, columns, "row")
     bands, rows = choose_bands(threshold, recall, hashes)
     sigma = math.sqrt(threshold * (1 - threshold) / (bands * rows))
     near = 0.7
     wide = max(0.05, near + (threshold - 4 * sigma) - 1)
-    all_rows = scratch.table(sketches(docs, bands, rows, n), "sketches")
+    all_rows = scratch.table(sketches(texts, bands, rows, n), "sketches")
     some = all_rows.filter("digest IS NOT NULL")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("size"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = scratch.table(classes, "classes")
-    roots = components(candidate_edges(classes, near, wide), scratch)
-    found = scratch.table(links(docs, classes, roots, scratch, threshold, n), "links")
+    roots = components(candidate_edges(classes, near, wide, scratch), scratch)
+    found = scratch.table(links(texts, classes, roots, scratch, threshold, n), "links")
     merged = components(found.filter("v IS NOT NULL").select("u", "v"), scratch)
     count = found.filter("v IS NULL").groupBy(F.col("u").alias("digest")).agg(F.sum("count").alias("links"))
     placed = classes.select("digest", "doc_id", "size").join(merged.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
