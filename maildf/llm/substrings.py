@@ -15,12 +15,16 @@ words of every copy of the window, followed by at least 20 words of the window.
 
 1. each document gives, for each top symbol, a key of its name and the 20 words from its start;
    keys seen only once in the corpus end the matter for their places;
-2. around shared keys, every window that may contain them is verified by a fingerprint of all its
-   words; windows seen at two places or more are marked;
+2. around shared keys, every window that may contain them is verified by a cryptographic digest of its
+   words themselves (128 bits of BLAKE2b over their bytes); windows seen at two places or more are marked;
 3. the words that marked windows cover are removed.
 
-Rounds 1 and 2 each are one shuffle of packed arrays. A batch keeps for itself what repeats within it
-and sends one token in its place, so no key brings more rows to a task than there are batches.
+Names and keys of step 1 are short fingerprints: two that collide bring windows to step 2 for nothing, and no equal
+windows ever miss each other. So words decide, and names only say where to look.
+
+Steps 1 and 2 each are one shuffle of packed arrays. A task gathers several million keys, keeps for itself what
+repeats within them and sends one token in its place, so no key brings more rows to a task than there are
+such gatherings, and a gathering makes at most one row for each bucket.
 """
 
 from __future__ import annotations
@@ -35,13 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, mix, runs, slices, word_hashes, words_of
+from .common import SPACE, Scratch, mix, numbered, runs, slices, word_hashes, words_of
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 PACKED = "bucket int, kind int, keys binary, rids binary, counts binary, places binary"
 FOUND = "bucket int, rids binary, counts binary, places binary"
 FIELDS = ["bucket", "kind", "keys", "rids", "counts", "places"]
+#: Keys that a task gathers before it sends them: 20 or 28 bytes each.
+GATHERED = 2_000_000
 
 
 def rounds_for(window: int) -> int:
@@ -80,13 +86,20 @@ class Words:
                 rids.append(rid)
                 counts.append(len(w))
                 words += w
-        self.rids, self.names = np.array(rids, np.int64), word_hashes(words)
+        self.rids, self.words, self.names = np.array(rids, np.int64), words, word_hashes(words)
         self.ends = np.cumsum(np.array(counts, np.int64))
         self.starts = self.ends - np.array(counts, np.int64)
 
     def document(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, "right") - 1
 
+    def digests(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Digests of the words at ``at``: pairs of 64-bit numbers."""
+        line, size = b" ".join(self.words), np.cumsum([0, *(len(w) + 1 for w in self.words)])
+        blake = hashlib.blake2b
+        out = b"".join([blake(line[a:b], digest_size=16).digest() for a, b in zip(size[at].tolist(), (size[at + length] - 1).tolist(), strict=True)])
+        return np.frombuffer(out, "<u8").reshape(-1, 2)
+
 
 class Prints:
     """Fingerprints of any stretch of one document's words."""
@@ -110,7 +123,7 @@ def _runs(rids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(keys: np.ndarray, rids: np.ndarray, places: np.ndarray, tokens: np.ndarray, here: tuple[np.ndarray, np.ndarray], buckets: int, turn: int) -> pa.RecordBatch:
-    """Rows of one batch: kind 0 asks about keys, kind 1 are keys known to repeat, kind 2 places already found."""
+    """Rows of one gathering: kind 0 asks about keys, kind 1 are keys known to repeat, kind 2 places already found."""
     out: list[list] = [[] for _ in FIELDS]
 
     def add(bucket: int, kind: int, keys: np.ndarray | None, rids: np.ndarray | None, places: np.ndarray | None) -> None:
@@ -119,7 +132,7 @@ def _pack(keys: np.ndarray, rids: np.ndarray, places: np.ndarray, tokens: np.nda
             c.append(v)
 
     for kind, k, r, p in ((0, keys, rids, places), (1, tokens, None, None)):
-        of = (k % np.uint64(buckets)).astype(np.int64)
+        of = (k[:, 0] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
@@ -130,25 +143,50 @@ def _pack(keys: np.ndarray, rids: np.ndarray, places: np.ndarray, tokens: np.nda
     return pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.binary()) for c in out[2:])], FIELDS)
 
 
-def _ask(keys: np.ndarray, rids: np.ndarray, places: np.ndarray, buckets: int, turn: int) -> pa.RecordBatch:
-    """Sort out what repeats within a batch."""
-    places = places.astype("<u4")
-    distinct, code, times = np.unique(keys, return_inverse=True, return_counts=True)
-    again = times[code] > 1
-    return _pack(keys[~again], rids[~again], places[~again], distinct[times > 1], (rids[again], places[again]), buckets, turn)
+def _alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of numbers: the first of each distinct row, each row's class, and sizes of classes."""
+    order = np.lexsort(keys.T)
+    ranked = keys[order]
+    new = np.append(len(keys) > 0, (ranked[1:] != ranked[:-1]).any(axis=1))[: len(keys)]
+    code = np.empty(len(keys), np.int64)
+    code[order] = np.cumsum(new) - 1
+    heads = np.flatnonzero(new)
+    return order[heads], code, np.diff(np.append(heads, len(keys)))
+
+
+class _Asker:
+    """Gathers (key, row, place) over batches, sorts out what repeats among them and packs the rest."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size, self.turn = buckets, [], 0, 7 * TaskContext.get().partitionId()
+
+    def add(self, keys: np.ndarray, rids: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((keys, rids, places.astype("<u4")))
+        self.size += len(keys)
+        if self.size >= GATHERED:
+            yield from self.send()
 
+    def send(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            keys, rids, places = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.held, self.size, self.turn = [], 0, self.turn + 1
+            first, code, times = _alike(keys)
+            again = times[code] > 1
+            yield _pack(keys[~again], rids[~again], places[~again], keys[first[times > 1]], (rids[again], places[again]), self.buckets, self.turn)
 
-def repeated(asked: DataFrame, buckets: int) -> DataFrame:
-    """Places whose key occurs twice or more: rows (bucket, rids, counts, places), dealt by row id."""
+
+def repeated(asked: DataFrame, buckets: int, words: int) -> DataFrame:
+    """Places whose key, of ``words`` numbers, occurs twice or more: rows (bucket, rids, counts, places), dealt by row id."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "bucket"):
             kinds = np.array(t.column("kind").to_pylist())
             part = lambda name, kind, dtype: np.frombuffer(b"".join(x for x, k in zip(t.column(name).to_pylist(), kinds, strict=True) if k == kind), dtype)  # noqa: B023, E731
             named = lambda kind: np.repeat(part("rids", kind, "<i8"), part("counts", kind, "<u4"))  # noqa: B023, E731
-            keys, rids, places = part("keys", 0, "<u8"), named(0), part("places", 0, "<u4")
-            _, code, times = np.unique(keys, return_inverse=True, return_counts=True)
-            hit = (times[code] > 1) | np.isin(keys, part("keys", 1, "<u8"))
+            keys, tokens = (part("keys", kind, "<u8").reshape(-1, words) for kind in (0, 1))
+            rids, places = named(0), part("places", 0, "<u4")
+            _, code, times = _alike(np.concatenate([keys, tokens, tokens]))  # a token stands for two places
+            hit = times[code[: len(keys)]] > 1
             rids, places = np.append(named(2), rids[hit]), np.append(part("places", 2, "<u4"), places[hit])
             of = rids.view(np.uint64) % np.uint64(buckets)
             order = np.lexsort((places, rids, of))
@@ -205,17 +243,17 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, byte
                 yield bucket, rid, blob, places[rid].astype(np.int64)
 
 
-def _cut(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, DataFrame]:
-    """Texts with row ids, and for those that lose words: rid, n_removed, kept."""
+def _cut(docs: DataFrame, scratch: Scratch, window: int, key_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Texts with row numbers, and for those that lose words: rid, n_removed, kept."""
     rounds = rounds_for(window)
     reach = 2**rounds - 1
     stretch = window - reach
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("rid", F.xxhash64("doc_id", "text"))
+    texts = numbered(docs, scratch, [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")], "rid")
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, b in enumerate(slices(batches, "text", 6_000_000, 4096)):
+        asker = _Asker(buckets)
+        for b in slices(batches, "text", 6_000_000, 4096):
             w = Words(zip(b.column("rid").to_pylist(), (t.encode() for t in b.column("text").to_pylist()), strict=True), window)
             if len(w.names):
                 first = np.zeros(len(w.names), bool)
@@ -224,9 +262,11 @@ def _cut(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, Dat
                 doc = w.document(at)
                 fits = at + stretch <= w.ends[doc]
                 at, name, doc = at[fits], name[fits], doc[fits]
-                yield _ask(mix(name ^ Prints(w.names).of(at, stretch)), w.rids[doc], at - w.starts[doc], buckets, _turn(turn))
+                keys = mix(name ^ Prints(w.names).of(at, stretch)) >> np.uint64(64 - key_bits)
+                yield from asker.add(keys[:, None], w.rids[doc], at - w.starts[doc])
+        yield from asker.send()
 
-    shared = repeated(texts.select("rid", "text").mapInArrow(symbols, PACKED), buckets)
+    shared = repeated(texts.select("rid", "text").mapInArrow(symbols, PACKED), buckets, 1)
     dealt = texts.select(_bucket_of("rid", buckets).alias("bucket"), "rid", "text").mapInArrow(_squeezed, "bucket int, rid long, blob binary")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +288,8 @@ def _cut(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, Dat
     some = scratch.table(_with_places(dealt, shared, buckets).mapInArrow(candidates, "bucket int, rid long, blob binary, places binary"), "shared")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, b in enumerate(slices(batches, "blob", 2_000_000, 4096)):
+        asker = _Asker(buckets)
+        for b in slices(batches, "blob", 2_000_000, 4096):
             w = Words(zip(b.column("rid").to_pylist(), map(_text, b.column("blob").to_pylist()), strict=True), 0)
             found = [np.frombuffer(raw, "<u4").astype(np.int64) for raw in b.column("places").to_pylist()]
             start = np.repeat(w.starts, [len(p) for p in found])
@@ -258,9 +299,10 @@ def _cut(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, Dat
             doc = w.document(at)
             fits = at + window <= w.ends[doc]
             at, doc = at[fits], doc[fits]
-            yield _ask(Prints(w.names).of(at, window), w.rids[doc], at - w.starts[doc], buckets, _turn(turn))
+            yield from asker.add(w.digests(at, window), w.rids[doc], at - w.starts[doc])
+        yield from asker.send()
 
-    marked = repeated(some.select("rid", "blob", "places").mapInArrow(windows, PACKED), buckets)
+    marked = repeated(some.select("rid", "blob", "places").mapInArrow(windows, PACKED), buckets, 2)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rid, blob, places in _matched(batches):
@@ -276,26 +318,27 @@ def _cut(docs: DataFrame, scratch: Scratch, window: int) -> tuple[DataFrame, Dat
     return texts, cut
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 35) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 35, key_bits: int = 64) -> DataFrame:
     """Remove every word in a window of ``window`` words that also starts anywhere else.
 
     Rows: doc_id, n_words, n_removed, kept (the words that stay, joined by single spaces). Words are
     runs of characters outside ``[\\x20\\x09-\\x0D]``; windows lie within one document, and all are
     judged on the input. Null and empty texts have no words; a text shorter than the window loses none;
     repeated rows count as places of their own, so a long enough text that occurs in two rows is
-    removed from both; a null doc_id stays null; other columns are not read; an empty table gives
-    no rows. Windows are told apart by 64-bit fingerprints.
+    removed from both; a null doc_id stays null; texts of any length are searched whole; other columns are not read;
+    an empty table gives no rows. Windows are told apart by 128 bits of BLAKE2b over their words; ``key_bits`` is the
+    length of the keys that say where to look, and changes the work alone.
     """
-    texts, cut = _cut(docs, scratch, window)
+    texts, cut = _cut(docs, scratch, window, key_bits)
     kept = F.coalesce("kept", F.array_join(F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != ""), " "))
-    words = texts.select("doc_id", "rid", "text").join(_once(cut), "rid", "left")
+    words = texts.select("doc_id", "rid", "text").join(cut, "rid", "left")
     n = F.size(F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != "")).cast("long")
     return words.select("doc_id", n.alias("n_words"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), kept.alias("kept"))
 
 
-def digests(docs: DataFrame, scratch: Scratch, window: int = 35) -> DataFrame:
+def digests(docs: DataFrame, scratch: Scratch, window: int = 35, key_bits: int = 64) -> DataFrame:
     """``remove_repeats`` with the SHA-256 of the kept words in their place; only digests are shuffled, not whole texts."""
-    texts, cut = _cut(docs, scratch, window)
+    texts, cut = _cut(docs, scratch, window, key_bits)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -303,20 +346,10 @@ def digests(docs: DataFrame, scratch: Scratch, window: int = 35) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), b.column("rid"), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])], ["doc_id", "rid", "n_words", "sha"])
 
     every = texts.select("doc_id", "rid", "text").mapInArrow(whole, "doc_id long, rid long, n_words long, sha string")
-    less = _once(cut.select("rid", "n_removed", F.sha2("kept", 256).alias("less")))
+    less = cut.select("rid", "n_removed", F.sha2("kept", 256).alias("less"))
     return every.join(less, "rid", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("less", "sha").alias("kept_sha256"))
 
 
-def _once(cut: DataFrame) -> DataFrame:
-    """Repeated rows share a row id and lose the same words."""
-    return cut.dropDuplicates(["rid"])
-
-
-def _turn(batch: int) -> int:
-    """Where a batch sends the places it found by itself: another bucket each time."""
-    return 7 * TaskContext.get().partitionId() + batch
-
-
 def _bucket_of(rid: str, buckets: int):
     """The row id as an unsigned number modulo ``buckets``, as numpy has it."""
     wrap = F.lit((1 << 64) % buckets)
