@@ -31,26 +31,39 @@ PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
 
 
 class Schedule:
-    """Closed form of the round-robin: totals and integer weights of all queues, in visiting order."""
+    """Closed form of the round-robin: totals and shares of all queues, in visiting order.
 
-    def __init__(self, totals: np.ndarray, weights: np.ndarray, window: int, quantum: int):
-        self.totals, self.weights, self.window, self.quantum = totals.astype(np.int64), weights.astype(np.int64), window, quantum
+    Queues of share 0 take turns, by their tokens, when all others have run dry. Products are split into
+    quotient and remainder, so that sums up to 10^14 tokens stay within 64 bits.
+    """
+
+    def __init__(self, totals: np.ndarray, shares: np.ndarray, window: int, quantum: int):
+        self.totals, self.window, self.quantum = totals.astype(np.int64), window, quantum
+        self.last = shares <= 0
+        self.weights = np.ones(len(totals), np.int64)
+        for turn, weight in ((~self.last, shares), (self.last, totals)):
+            part = weight[turn].astype(float)
+            self.weights[turn] = np.maximum(1, np.round(part / max(part.sum(), 1e-300) * SCALE))
+        self.base = np.where(self.last, self.totals[~self.last].sum(), 0)
 
     def due(self, queue: np.ndarray, packet: np.ndarray) -> np.ndarray:
         """The round that serves a packet: the first in which the queue's credit covers it whole."""
-        end = np.minimum((packet + 1) * self.quantum, self.totals[queue])
-        return -(-end * SCALE // (self.window * self.weights[queue]))
+        end, a_round = np.minimum((packet + 1) * self.quantum, self.totals[queue]), self.window * self.weights[queue]
+        whole, rest = np.divmod(end, a_round)
+        return whole * SCALE - (-rest * SCALE // a_round)
 
     def served(self, queue: int, rounds: np.ndarray) -> np.ndarray:
         """Tokens that a queue has sent by the end of a round; the rest of its credit is its deficit."""
-        credit = rounds * (self.window * int(self.weights[queue])) // SCALE
-        return np.where(credit >= self.totals[queue], self.totals[queue], credit // self.quantum * self.quantum)
+        total, a_round = int(self.totals[queue]), self.window * int(self.weights[queue])
+        whole, rest = np.divmod(np.minimum(rounds, -(-total * SCALE // a_round)), SCALE)
+        credit = whole * a_round + rest * a_round // SCALE
+        return np.where(credit >= total, total, credit // self.quantum * self.quantum)
 
     def position(self, queue: np.ndarray, packet: np.ndarray) -> np.ndarray:
         """Place in the stream of a packet's first token."""
-        rounds, at = self.due(queue, packet), packet * self.quantum
+        rounds, at = self.due(queue, packet), self.base[queue] + packet * self.quantum
         for q in range(len(self.totals)):
-            others = queue != q
+            others = (queue != q) & (self.last[queue] == self.last[q])
             # a queue visited later in the same round has served only the rounds before
             at = at + np.where(others, self.served(q, rounds - (queue < q)), 0)
         return at
@@ -84,11 +97,23 @@ class Schedule:
         return doc, begin_, end_ - begin_, at
 
 
-def pack(docs: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, window: int = 1024, quantum: int = 64, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 0, max_queues: int = 1024) -> DataFrame:
+def shares(total: dict[str, int], targets: dict[str, float] | None) -> np.ndarray:
+    """Shares of queues (``=`` and a source's name, or others) of all tokens, in the order of ``total``."""
+    aimed = {"=" + s: w for s, w in (targets or {}).items() if "=" + s in total}
+    given = sum(aimed.values())
+    free = sum(n for q, n in total.items() if q not in aimed)
+    rest = max(0.0, 1.0 - given) / max(free, 1)
+    return np.array([aimed[q] / max(given, 1.0) if q in aimed else n * rest for q, n in total.items()], dtype=float)
+
+
+def pack(docs: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, window: int = 1024, quantum: int = 256, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = 0, max_queues: int = 1024) -> DataFrame:
     """Pack all rows of ``docs (doc_id, text, source)`` into windows; one row a piece.
 
-    ``targets``: weights of sources; a source without one, and every source where none is given,
-    weighs as many tokens as it has. When a queue runs dry the others go on in their proportions.
+    ``targets``: shares of sources. Where they come to less than 1, the other sources have the rest, in
+    proportion to their tokens; else targets are scaled to 1. A source of share 0 is packed when the
+    others have run dry. Without targets every source has its share of all tokens. When a queue runs
+    dry the others go on in their proportions. A document is cut at packets of ``quantum`` tokens, so a smaller one
+    holds proportions more closely and makes more pieces.
     With more than ``max_queues`` sources, those with a target and the largest (by bytes of text, half
     of ``max_queues``) keep queues of their own; only the rest share the other half by a hash, so that
     the table of queues that every task holds keeps a fixed bound. A shared queue weighs as many
@@ -96,11 +121,13 @@ def pack(docs: DataFrame, scratch: Scratch, targets: dict[str, float] | None = N
     proportion, its small sources keep theirs only as far as one packet can tell.
 
     Null text counts as empty (one end token), null source is a source of its own, a null doc_id
-    stays null, repeated rows are packed once each, and other columns are not read. An empty table
-    gives no rows.
+    stays null, repeated rows are packed once each, and other columns are not read. Texts of any length are
+    tokenised whole and laid over as many windows as they fill. An empty table gives no rows.
     """
     if quantum > window:
         raise ValueError("quantum must not exceed window")
+    if any(w < 0 for w in (targets or {}).values()):
+        raise ValueError("a target is negative")
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     own = F.lit(True)
@@ -132,9 +159,7 @@ def pack(docs: DataFrame, scratch: Scratch, targets: dict[str, float] | None = N
     before = scratch.table(before.select("queue", "chunk", F.coalesce("base", F.lit(0)).alias("base")), "prefix")
     total = dict(sorted((r[0], r[1]) for r in per.groupBy("queue").agg(F.sum("tokens")).collect()))  # at most max_queues + len(targets) + 1 rows
     names = list(total)
-    weight = np.array([(targets or {}).get(q[1:] if q[:1] == "=" else q, total[q]) for q in names], dtype=float)
-    share = np.maximum(1, np.round(weight / max(weight.sum(), 1e-9) * SCALE)).astype(np.int64) if names else np.empty(0, np.int64)
-    plan = Schedule(np.array([total[q] for q in names], dtype=np.int64), share, window, quantum)
+    plan = Schedule(np.array([total[q] for q in names], dtype=np.int64), shares(total, targets), window, quantum)
     rank = {q: i for i, q in enumerate(names)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
