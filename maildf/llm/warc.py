@@ -51,7 +51,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, re
 
 
 def dictionary(records: list[bytes], size: int = 32_768, sample: int = 2_000_000) -> bytes:
-    """A dictionary from evenly spaced records of at most ``sample`` bytes in all; of few or short ones, their bytes as they are."""
+    """A dictionary from evenly spaced records of about ``sample`` bytes in all; of few or short ones, their bytes as they are.
+
+    The first 128 KiB of a chosen record are learned from, so that training holds little; records are
+    compressed whole, and a dictionary that fits badly costs bytes alone.
+    """
     step = max(1, sum(map(len, records)) // sample)
     chosen = [r[:131_072] for r in records[::step]]
     try:
@@ -106,10 +110,13 @@ def write(pages: DataFrame, path: str, scratch: Scratch, least: int = 1000, arch
     response and the others revisit it; shorter payloads are all responses. Null html is an empty
     payload; repeated rows of the winning page are each a response; a null page_id never wins unless
     the group has no other, and then each of its rows is a response; null url leaves the field out;
-    other columns are not read; an empty table writes nothing.
+    other columns are not read; an empty table writes nothing. A payload of any length below 2 GiB is written
+    whole. Payloads are equal by SHA-256 and length, since pairs of one SHA-1 can be made; SHA-1 is what
+    records report.
     """
     raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("digest", F.struct("sha", F.octet_length("payload").alias("bytes")))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
+    rows = rows.withColumn("digest", F.struct(F.unhex(F.sha2("payload", 256)).alias("sha256"), F.octet_length("payload").alias("bytes")))
     groups = scratch.table(rows.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "payloads")
     shared = groups.filter(f"n > 1 AND digest.bytes >= {int(least)}")
     marked = lookup(rows, shared, "digest", "n")
