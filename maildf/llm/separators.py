@@ -191,7 +191,8 @@ def count_tokens(docs: DataFrame, path: str, **options) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, file_no long, ordinal long, start long, n_tokens long")
     eod, width = options.get("eod", 50256), options.get("width", 2)
     found = scan(pieces(spark, f"{path}/kind=tokens", eod, _part()), eod, width).withColumnRenamed("file", "file_no")
-    return found.join(names(spark, path, width), ["file_no", "ordinal"]).select("doc_id", "file_no", "ordinal", "start", "n_tokens")
+    # Never a broadcast: Spark takes what is read from few files for small.
+    return found.hint("merge").join(names(spark, path, width), ["file_no", "ordinal"]).select("doc_id", "file_no", "ordinal", "start", "n_tokens")
 
 
 def _listing(spark: SparkSession, path: str) -> list[str]:
