@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Families of ISO 639-1 codes; a language in none of them joins the family "other".
+#: Families of ISO 639-1 codes; languages in none of them are gathered by likeness.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy af lb yi".split(),
     "romance": "fr es it pt ro ca gl oc la".split(),
@@ -98,11 +98,24 @@ class Duel:
         return self.classes[best], float(1 / (1 + np.exp(-np.clip(2 * least[best], -50, 50))))
 
 
+def gather(x: np.ndarray, labels: np.ndarray, most: int = 12) -> dict[str, str]:
+    """The family of each language; those that no table knows go with their nearest kin, ``most`` a family at most."""
+    codes = sorted(set(labels))
+    family, left = {c: FAMILY[c] for c in codes if c in FAMILY}, [c for c in codes if c not in FAMILY]
+    centre = {c: x[labels == c].mean(axis=0) for c in left}
+    while left:
+        kin = sorted(left, key=lambda c: (c != left[0], -float(centre[c] @ centre[left[0]]), c))[:most]
+        family |= dict.fromkeys(kin, f"like {left[0]}")
+        left = [c for c in left if c not in family]
+    return family
+
+
 class Model:
     """Families first, then the languages of the winning family."""
 
     def __init__(self, x: np.ndarray, labels: np.ndarray):
-        family = np.array([FAMILY.get(c, "other") for c in labels], dtype=object)
+        of = gather(x, labels)
+        family = np.array([of[c] for c in labels], dtype=object)
         names = sorted(set(family))
         self.top = Duel(names, x, family)
         self.within = {f: Duel(sorted(set(labels[family == f])), x[family == f], labels[family == f]) for f in names}
@@ -121,23 +134,29 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, rows: int = 4000, rows_a_language: int = 300) -> Model:
+def hash_bound(least: int, count: int, wanted: int) -> int:
+    """A bound on 64-bit hashes below which about ``wanted`` of ``count`` rows lie, and always the least hash."""
+    return max(least, min(-(1 << 63) + (1 << 64) * wanted // count, (1 << 63) - 1))
+
+
+def fit(docs: DataFrame, rows: int = 4000, rows_a_language: int = 300, most_languages: int = 500) -> Model:
     """Fit on up to ``rows_a_language`` rows of each language, ``rows`` in all, the first by a hash of doc_id.
 
-    Both bounds are on the sample alone; every language keeps a row, and more than ``rows`` languages
-    are an error. Held-out rows, null labels, null doc_ids and texts without a letter are not learned
-    from.
+    These bounds are on the sample alone. Every language keeps a row; more than ``most_languages`` are an
+    error, as machines for pairs of classes grow with the square of a level's classes: 500 languages in families of 12
+    make about 4,000 machines of 32 KB. Held-out rows, null labels, null doc_ids and texts without a
+    letter are not learned from.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").cast("string").rlike(r"\p{L}"))
     labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("key"), F.col("text").cast("string").alias("text"))
-    n = {r[0]: (r[1], r[2]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)), F.min("key")).limit(rows + 1).collect()}
-    if len(n) > rows:
-        raise ValueError(f"more than {rows} languages")
+    n = {r[0]: (r[1], r[2]) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)), F.min("key")).limit(most_languages + 1).collect()}
+    if len(n) > min(rows, most_languages):
+        raise ValueError(f"more than {min(rows, most_languages)} languages")
     if not n:
         return Model(np.zeros((0, DIMS), np.float32), np.empty(0, dtype=object))
     each = min(rows_a_language, rows // len(n))
     # About 2 * each + 50 rows of a language stay below its bound, and always the least hash; the first of them are taken.
-    bound = {lang: max(least, min(-(1 << 63) + (1 << 64) * (2 * each + 50) // count, (1 << 63) - 1)) for lang, (count, least) in n.items()}
+    bound = {lang: hash_bound(least, count, 2 * each + 50) for lang, (count, least) in n.items()}
     below = F.create_map(*[F.lit(v) for item in bound.items() for v in item])[F.col("lang")]
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key", F.xxhash64("text")))
     taken = labelled.filter(F.col("key") <= below).withColumn("place", place).filter(F.col("place") <= each)
@@ -154,6 +173,8 @@ def fit(docs: DataFrame, rows: int = 4000, rows_a_language: int = 300) -> Model:
                 yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], ["lang", "key", "at", "value"])
 
     got = sorted(taken.select("lang", "key", "text").mapInArrow(sparse, "lang string, key long, at binary, value binary").collect())
+    if lost := set(n) - {r[0] for r in got}:
+        raise ValueError(f"no row to learn from: {sorted(lost)}")
     x = np.zeros((len(got), DIMS), np.float32)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r[2], "<u2")] = np.frombuffer(r[3], "<f4")
@@ -164,8 +185,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Predict the language of every row's whole text: doc_id, held_out, lang_pred, score.
 
     Null text, text without a letter and a model that learned nothing give ``und`` with score 0. A
-    null doc_id is not held out; repeated rows are each predicted; only doc_id and text are read; an
-    empty table gives no rows.
+    null doc_id is not held out; repeated rows are each predicted; texts of any length are scored whole, in blocks;
+    only doc_id and text are read; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the classes and DIMS
 
