@@ -4,6 +4,9 @@ The units of a text are its lines, its paragraphs and the whole text. A unit is
 lower-case words of letters and digits, and its set of word bigrams is compared to templates that its
 size allows: a Dice coefficient of t needs between n * t / (2 - t) and n * (2 - t) / t bigrams
 for a template of n. An index from bigram to templates counts what they share.
+
+A notice may also stand within a longer paragraph. So a template that shares enough bigrams with the whole text is laid
+over every stretch of as many words as it has; of templates whose best stretches overlap, the best stays.
 """
 
 from __future__ import annotations
@@ -104,6 +107,7 @@ class Index:
     def __init__(self, templates: list[tuple[str, str]], threshold: float):
         self.threshold = threshold
         self.names = [n for n, _ in templates]
+        self.words = [len(TERM.findall(t.lower())) for _, t in templates]
         self.sizes = [len(bigrams(t)) for _, t in templates]
         self.places = defaultdict(list)
         for i, (_, t) in enumerate(templates):
@@ -111,7 +115,7 @@ class Index:
                 self.places[b].append(i)
         ratio = threshold / (2 - threshold)
         self.bounds = [(n * ratio, n / ratio) for n in self.sizes]
-        self.least, self.most = min(lo for lo, _ in self.bounds), max(hi for _, hi in self.bounds)
+        self.least, self.most = min((lo for lo, _ in self.bounds), default=1), max((hi for _, hi in self.bounds), default=0)
         self.heads = {a for a, _ in self.places}
 
     def units(self, text: str) -> Iterator[list[str]]:
@@ -123,41 +127,76 @@ class Index:
                 if len(words) > self.least:
                     yield words
 
-    def best(self, text: str | None) -> tuple[str | None, float | None]:
-        """The licence of greatest coefficient (then least name) among all units of a text."""
-        top: tuple[float, str] | None = None
+    def shared(self, words: list[str]) -> tuple[int, Counter]:
+        """The number of distinct bigrams, and how many each template shares."""
+        grams = set(zip(words, words[1:], strict=False))
+        return len(grams), Counter(i for g in grams & self.places.keys() for i in self.places[g])
+
+    def best(self, n: int, shared: Counter) -> tuple[float, str] | None:
+        """Of templates that a unit's size allows, minus the greatest coefficient and its (least) licence."""
+        fits = ((-2.0 * both / (n + self.sizes[i]), self.names[i]) for i, both in shared.items() if self.bounds[i][0] <= n <= self.bounds[i][1])
+        return min((f for f in fits if -f[0] >= self.threshold), default=None)
+
+    def stretches(self, words: list[str], shared: Counter) -> set[str]:
+        """Licences whose template, laid over its best stretch of the words, reaches the threshold and is not outdone there."""
+        met = []
+        for i, both in shared.items():
+            if both >= self.bounds[i][0] and len(words) >= self.words[i]:
+                dice, start = self._laid(words, i)
+                if dice >= self.threshold:
+                    met.append((-dice, self.names[i], start, start + self.words[i]))
+        return {b[1] for b in met if not any(a[:2] < b[:2] and a[2] < b[3] and b[2] < a[3] for a in met)}
+
+    def _laid(self, words: list[str], i: int) -> tuple[float, int]:
+        """The greatest coefficient of a template and a stretch of as many words, and the first place that has it."""
+        grams, size = list(zip(words, words[1:], strict=False)), self.words[i] - 1
+        held, both, top = Counter(), 0, (-1.0, 0)
+        for at, new in enumerate(grams):
+            held[new] += 1
+            both += held[new] == 1 and i in self.places.get(new, ())
+            if at >= size:
+                old = grams[at - size]
+                held[old] -= 1
+                if not held[old]:
+                    del held[old]
+                    both -= i in self.places.get(old, ())
+            if at >= size - 1 and (dice := 2.0 * both / (len(held) + self.sizes[i])) > top[0]:
+                top = dice, at - size + 1
+        return top
+
+    def find(self, text: str | None) -> tuple[str | None, float | None, str | None]:
+        """The licence of greatest coefficient (then least name) among all units of a text, and all licences in order."""
+        top, names = [], set()
         for words in self.units(text or ""):
-            if self.heads.isdisjoint(words):
-                continue
-            grams = set(zip(words, words[1:], strict=False))
-            n = len(grams)
-            if not self.least <= n <= self.most:
-                continue
-            shared = Counter(i for g in grams & self.places.keys() for i in self.places[g])
-            for i, both in shared.items():
-                if self.bounds[i][0] <= n <= self.bounds[i][1]:
-                    dice = 2.0 * both / (n + self.sizes[i])
-                    if dice >= self.threshold and (top is None or (-dice, self.names[i]) < (-top[0], top[1])):
-                        top = dice, self.names[i]
-        return (top[1], top[0]) if top else (None, None)
+            if not self.heads.isdisjoint(words):
+                n, shared = self.shared(words)
+                if one := self.best(n, shared):
+                    top.append(one)
+        words = TERM.findall((text or "").lower())
+        if not self.heads.isdisjoint(words):
+            names = self.stretches(words, self.shared(words)[1])
+        names |= {name for _, name in top}
+        least = min(top, default=(None, None))
+        return least[1], None if least[0] is None else -least[0], ",".join(sorted(names)) or None
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
-    """The licence notice that each row's whole text holds: doc_id, licence, dice; null where none.
+    """The licence notices that each row's whole text holds: doc_id, licence, dice, licences; null where none.
 
-    Null and empty texts hold none. Of equal coefficients the least licence name is given. Repeated
-    rows are each scanned; a null doc_id stays null; other columns are not read; an empty table
-    gives no rows.
+    ``licence`` is that of the line, paragraph or whole text with the greatest coefficient, ``dice``; of equal ones the
+    least name. ``licences`` names those of all units and of notices within longer ones, joined by commas. Null and
+    empty texts hold none; texts of any length are scanned whole. Repeated rows are each scanned; a null doc_id stays
+    null; other columns are not read; an empty table gives no rows, and no templates find nothing.
     """
     index = Index(TEMPLATES if templates is None else templates, threshold)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            got = [index.best(t) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "licence", "dice"])
+            got = [index.find(t) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.string())], ["doc_id", "licence", "dice", "licences"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(look, "doc_id long, licence string, dice double")
+    return slim.mapInArrow(look, "doc_id long, licence string, dice double, licences string")
 
 
 def oracle(threshold: float = 0.8) -> str:
@@ -167,12 +206,22 @@ def oracle(threshold: float = 0.8) -> str:
     return rf"""
 WITH t(licence, template) AS (VALUES {rows}),
 tw AS (SELECT licence, regexp_extract_all(lower(template), '[\p{{L}}\p{{N}}]+') AS w FROM t),
-tb AS (SELECT licence, {grams} AS b FROM tw),
+tb AS (SELECT licence, {grams} AS b, len(w) AS n_words, row_number() OVER () AS tid FROM tw),
 u AS (SELECT doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n([ \t\r]*\n)+')), [text])) AS unit FROM documents WHERE text IS NOT NULL),
-uw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(unit), '[\p{{L}}\p{{N}}]+') AS w FROM u),
-ub AS (SELECT doc_id, {grams} AS b FROM uw WHERE len(w) > 1),
-d AS (SELECT doc_id, licence, 2.0 * len(list_intersect(ub.b, tb.b)) / (len(ub.b) + len(tb.b))::DOUBLE AS dice FROM ub, tb
+uw AS (SELECT doc_id, row_number() OVER () AS uid, regexp_extract_all(lower(unit), '[\p{{L}}\p{{N}}]+') AS w FROM u),
+ub AS (SELECT doc_id, uid, {grams} AS b FROM uw WHERE len(w) > 1),
+d AS (SELECT doc_id, uid, licence, 2.0 * len(list_intersect(ub.b, tb.b)) / (len(ub.b) + len(tb.b))::DOUBLE AS dice FROM ub, tb
       WHERE len(ub.b) BETWEEN len(tb.b) * {threshold} / (2 - {threshold}) AND len(tb.b) * (2 - {threshold}) / {threshold}),
-best AS (SELECT doc_id, licence, dice FROM d WHERE dice >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence) = 1)
-SELECT doc_id, licence, dice::DOUBLE AS dice FROM documents LEFT JOIN best USING (doc_id)
+by_unit AS (SELECT doc_id, licence, dice FROM d WHERE dice >= {threshold} QUALIFY row_number() OVER (PARTITION BY uid ORDER BY dice DESC, licence) = 1),
+best AS (SELECT doc_id, licence, dice FROM by_unit QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence) = 1),
+whole AS (SELECT doc_id, w, {grams} AS b FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 1),
+c AS (SELECT doc_id, whole.w AS text_words, tid, licence, tb.b AS t, n_words FROM whole, tb
+      WHERE len(list_intersect(whole.b, tb.b)) >= len(tb.b) * {threshold} / (2 - {threshold}) AND len(whole.w) >= n_words),
+s AS (SELECT *, list_slice(text_words, pos, pos + n_words - 1) AS w FROM (SELECT *, unnest(range(1, len(text_words) - n_words + 2)) AS pos FROM c)),
+l AS (SELECT doc_id, tid, licence, n_words, pos, 2.0 * len(list_intersect({grams}, t)) / (len({grams}) + len(t))::DOUBLE AS dice FROM s),
+m AS (SELECT * FROM l WHERE dice >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id, tid ORDER BY dice DESC, pos) = 1),
+o AS (SELECT y.doc_id, y.licence FROM m y WHERE NOT EXISTS (SELECT 1 FROM m x WHERE x.doc_id = y.doc_id AND (x.dice > y.dice OR x.dice = y.dice AND x.licence < y.licence)
+      AND x.pos < y.pos + y.n_words AND y.pos < x.pos + x.n_words)),
+every AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM (SELECT doc_id, licence FROM by_unit UNION ALL SELECT doc_id, licence FROM o) GROUP BY doc_id)
+SELECT doc_id, licence, dice::DOUBLE AS dice, licences FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN every USING (doc_id)
 """
