@@ -116,7 +116,6 @@ class Index:
         ratio = threshold / (2 - threshold)
         self.bounds = [(n * ratio, n / ratio) for n in self.sizes]
         self.least, self.most = min((lo for lo, _ in self.bounds), default=1), max((hi for _, hi in self.bounds), default=0)
-        self.heads = {a for a, _ in self.places}
 
     def units(self, text: str) -> Iterator[list[str]]:
         """Words of each unit that can be long enough; a word's length of 1 bounds the words of a unit from above."""
@@ -166,16 +165,13 @@ class Index:
 
     def find(self, text: str | None) -> tuple[str | None, float | None, str | None]:
         """The licence of greatest coefficient (then least name) among all units of a text, and all licences in order."""
-        top, names = [], set()
-        for words in self.units(text or ""):
-            if not self.heads.isdisjoint(words):
-                n, shared = self.shared(words)
-                if one := self.best(n, shared):
-                    top.append(one)
         words = TERM.findall((text or "").lower())
-        if not self.heads.isdisjoint(words):
-            names = self.stretches(words, self.shared(words)[1])
-        names |= {name for _, name in top}
+        met = {g for g in zip(words, words[1:], strict=False) if g in self.places}
+        shared = Counter(i for g in met for i in self.places[g])
+        if all(both < self.bounds[i][0] for i, both in shared.items()):
+            return None, None, None  # no part of the text shares more than the whole does
+        top = [one for unit in self.units(text) if (one := self.best(*self.shared(unit)))]
+        names = self.stretches(words, shared) | {name for _, name in top}
         least = min(top, default=(None, None))
         return least[1], None if least[0] is None else -least[0], ",".join(sorted(names)) or None
 
