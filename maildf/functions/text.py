@@ -64,6 +64,12 @@ def percent_decode(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(got, columns=["ok", "bytes"])
 
 
+def quoted_printable_char(digits: Column | str) -> Column:
+    """The byte of two hexadecimal digits; null of anything else."""
+    d = F.col(digits) if isinstance(digits, str) else digits
+    return F.when(d.rlike("^[0-9A-Fa-f]{2}$"), F.conv(d, 16, 10).cast("int"))
+
+
 def charset_decode(data: Column | str, label: Column | str) -> Column:
     """Text of bytes in a charset; UTF-8 if the label is unknown."""
 

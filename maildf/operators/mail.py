@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import accessors as A
 
 
@@ -40,13 +41,20 @@ def to_json(df: DataFrame, message: str = "message") -> DataFrame:
     return df.select(*[c for c in df.columns if c != message], F.to_json(message, {"ignoreNullFields": "true"}).alias("json"))
 
 
+def from_json(df: DataFrame, json: str = "json", message: str = "message") -> DataFrame:
+    """The message of JSON text as ``to_json`` writes it; null where the text is none."""
+    return df.select(*[c for c in df.columns if c not in (json, message)], F.from_json(json, schema.MESSAGE).alias(message))
+
+
 def write_attachments(rows: DataFrame, path: str) -> DataFrame:
     """Write each row's ``bytes`` below ``path`` under its ``attachment_name``: rows of (file, size).
 
-    ``path`` is a folder that all machines share. Names lose their directories and odd characters, and a digest
+    ``path`` is a folder that all machines mount; a store that only Spark reaches is an error. Names lose their directories and odd characters, and a digest
     of the bytes keeps equal names apart, so that writing again after a lost task changes nothing.
     """
-    base = path.removeprefix("file://")
+    base = path.removeprefix("file://").removeprefix("file:")
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", base):
+        raise ValueError(f"{path} is no mounted folder")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
