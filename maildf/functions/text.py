@@ -37,10 +37,18 @@ html_entity_decode = _map(T.StringType(), html.entity)
 thread_name_of = _map(T.StringType(), threads.thread_name)
 trim_trailing_fwd = _map(T.StringType(), threads.trim_trailing_fwd)
 preview_html, truncate_html = _limited(html.preview_html), _limited(html.truncate_html)
-base64_decode = _map(T.BinaryType(), lambda x: decoders.base64_decode(bytes(x)))
+_base64_decode = _map(T.BinaryType(), lambda x: decoders.base64_decode(bytes(x)))
 quoted_printable_decode = _map(T.BinaryType(), lambda x: decoders.quoted_printable_decode(bytes(x)))
 
 
+def base64_decode(data: Column | str) -> Column:
+    """Bytes of Base64 with white space; null at any other byte. Whole groups are decoded in SQL; only other input goes to Python."""
+    d = F.col(data) if isinstance(data, str) else data
+    bare = F.translate(d.cast("string"), " \t\r\n", "")
+    clean = (F.length(bare) % 4 == 0) & bare.rlike(r"^[A-Za-z0-9+/]*+={0,2}$")
+    return F.when(clean, F.unbase64(bare)).otherwise(_base64_decode(F.when(~clean, d.cast("binary"))))
+
+
 def text_to_html(text: Column | str) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     return F.concat(F.lit("<html><body>"), F.replace(F.replace(F.replace(t, F.lit("\r"), F.lit("")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("<br/>")), F.lit("</body></html>"))

@@ -311,7 +311,7 @@ def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS t1, epoch(date_trunc('second', ts))::BIGINT - 7200 AS t2 FROM events")
 def date_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", M.parse_rfc3339(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("a"), M.parse_rfc822(F.concat(F.date_format("ts", "d MMM yyyy HH:mm:ss"), F.lit(" +0200 (comment (nested))"))).alias("b"))
+    e = spread(table(spark, sf_dir, "events")).select("event_id", M.parse_rfc3339(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("a"), M.parse_rfc822(F.concat(F.date_format("ts", "d MMM yyyy HH:mm:ss"), F.lit(" +0200 (comment (nested))"))).alias("b"))
     return e.select("event_id", M.to_timestamp(F.col("a")).alias("t1"), M.to_timestamp(F.col("b")).alias("t2"))
 
 
@@ -348,7 +348,7 @@ def custom_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, text AS b64, text AS qp, true AS percent_ok, text AS percent, text AS charset FROM documents
 """)
 def decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     hexed = "regexp_replace(hex(encode(text, 'UTF-8')), '(..)', '{0}$1')"
     e = d.select("doc_id", F.encode(F.expr(B64.format("encode(text, 'UTF-8')")), "UTF-8").alias("b"), F.encode(F.expr(QP.format("text")), "UTF-8").alias("q"), F.encode(F.expr(hexed.format("%")), "UTF-8").alias("p"), F.encode("text", "UTF-16LE").alias("u"))
     p = M.percent_decode("p")

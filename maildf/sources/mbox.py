@@ -1,8 +1,7 @@
 """Mbox files and loose messages.
 
-``read_mbox`` reads through Spark's ``binaryFile`` and so from any store that Spark knows, one row a
-file, of up to 2 GiB. The data source ``mbox`` reads files of any size from a file system that
-all machines mount: a file is cut into byte ranges, and a range owns the messages that begin in it.
+``read_mbox`` reads files of any size from any store that Spark knows. The data source ``mbox`` reads them from
+a file system that all machines mount. Either cuts a file into ranges, and a range owns the messages that begin in it.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -61,8 +60,75 @@ def _binary(spark: SparkSession, path: str | list[str], recursive: bool) -> Data
 
 
 def read_mbox(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """Messages of mbox files: path, seq, internal_date, envelope_from, raw."""
-    return split_mbox(_binary(spark, path, recursive).select("path", "content"), "content")
+    """Messages of mbox files of any size on any store that Spark reads: path, seq, internal_date, envelope_from, raw.
+
+    Spark's text reader deals ranges of lines; a range owns the messages that begin in it. Its last message may go
+    on in the ranges behind it, so the pieces around range ends, two or fewer a range, meet by file. ``seq`` grows
+    with the place of the From_ line in its file, and is that place in the first range.
+    """
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", recursive)
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    cut = lines.mapInArrow(_pieces, "path string, size long, start long, turn int, seq long, bytes long, whole boolean, data binary")
+    earlier = Window.partitionBy("path").orderBy("start", "turn")
+    # The reader ends a last line that had no end of its own.
+    extra = F.sum("bytes").over(Window.partitionBy("path")) - F.col("size")
+    ends = cut.filter("NOT whole").withColumns({"extra": extra, "last": F.lead("turn").over(earlier).isNull(), "group": F.count("seq").over(earlier)})
+    data = F.when(F.col("last") & (F.col("extra") == 1), F.expr("substring(data, 1, octet_length(data) - 1)")).otherwise(F.col("data"))
+    met = ends.filter("group > 0").groupBy("path", "group").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("start", "turn", data.alias("data")))).alias("pieces"))
+    met = met.select("path", "seq", F.aggregate("pieces", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("data"))
+    return cut.filter("whole").select("path", "seq", "data").unionByName(met).mapInArrow(_opened, SCHEMA.replace(", error string", ""))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole messages of a range, and what lies before its first From_ line and from its last one on.
+
+    A range's last piece has the ``bytes`` of all of it.
+    """
+    names = ["path", "size", "start", "turn", "seq", "bytes", "whole", "data"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    key, turn, at, begin, held, out, size = None, 0, 0, None, [], [], 0
+
+    def piece(whole: bool, count: int) -> None:
+        nonlocal held, size
+        out.append((*key, turn, begin, count, whole, b"".join(held)))
+        size += len(out[-1][-1])
+        held = []
+
+    def send() -> pa.RecordBatch:
+        nonlocal out, size
+        batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        out, size = [], 0
+        return batch
+
+    for b in batches:
+        for path, length, start, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != (path, length, start):
+                if key is not None:
+                    piece(False, at)
+                key, turn, at, begin, held = (path, length, start), 0, 0, None, []
+            if line.startswith(b"From "):
+                if begin is None:
+                    piece(False, 0)
+                else:
+                    piece(True, 0)
+                # a range that is not the first begins behind a byte of the line before
+                turn, begin = turn + 1, start + at + (start > 0)
+            held += [line, b"\n"]
+            at += len(line) + 1
+            if size > 4 << 20:
+                yield send()
+    if key is not None:
+        piece(False, at)
+    if out:
+        yield send()
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [next(mailbox.split_mbox(x.as_buffer())) for x in b.column("data")]
+        if got:
+            date, sender, raw = zip(*got, strict=True)
+            yield pa.record_batch([b.column("path"), b.column("seq"), pa.array(date, pa.int64()), pa.array(sender, pa.string()), pa.array(raw, pa.binary())], ["path", "seq", "internal_date", "envelope_from", "raw"])
 
 
 def read_eml(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:

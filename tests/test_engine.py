@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from maildf import functions as M
 from maildf import operators as O
 from maildf import sources, streaming
-from maildf.kernel import html, mime
+from maildf.kernel import dates, decoders, html, mailbox, mime
 from maildf.parse import EmailParser, flatten
 from maildf.plans import queries as Q
 
@@ -247,3 +247,60 @@ def test_entry(spark):
 
     assert E.entry(spark).count() == 1500
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+@pytest.mark.parametrize("size", [23, 200, 1 << 20])
+def test_mbox_in_ranges(spark, tmp_path, size):
+    """Messages come out whole wherever ranges cut a file, in order, with and without a last newline."""
+    one = b"lost\nFrom a@x Mon Jan 1 00:00:00 2001\nSubject: 1\r\n\r\n>From body\nx\n\nFrom b@x\n\nFrom c@x Tue Jan 2 00:00:00 2001\n" + b"long line " * 30 + b"\nFrom here\nend"
+    files = {"1.mbox": one, "2.mbox": one + b"\n", "3.mbox": b"no mail\nat all\n", "4.mbox": b"", "5.mbox": b"From z@x Mon Jan 1 00:00:00 2001\n"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = sources.read_mbox(spark, f"{tmp_path}/*.mbox").orderBy("path", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, data in files.items():
+        mine = [r for r in rows if r.path.endswith(name)]
+        assert [(r.internal_date, r.envelope_from, bytes(r.raw)) for r in mine] == list(mailbox.split_mbox(data))
+        assert len({r.seq for r in mine}) == len(mine) and (size < 1 << 20 or all(data[r.seq :].startswith(b"From ") for r in mine))
+
+
+def test_large_mbox_is_not_copied(spark):
+    """A mailbox in one row, of more messages than memory would hold copies of it."""
+    box = b"".join(b"From a@x Mon Jan 1 00:00:00 2001\nSubject: %d\n\n%s\n" % (i, b"x" * 1000) for i in range(20_000))
+    df = spark.createDataFrame([(bytearray(box),)], "box binary")
+    assert sources.split_mbox(df, "box").agg(F.count("*"), F.sum(F.octet_length("raw"))).first() == (20_000, sum(len(b"Subject: %d\n\n%s\n" % (i, b"x" * 1000)) for i in range(20_000)))
+
+
+def test_native_readers_agree_with_the_kernel(spark):
+    dates_ = ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05.123-05:30", "2024-01-02T03:04:05+00:00", "2024-1-2T3:4:5Z", "2024-01-02T03:04:05", "x", None, "9999-99-99T99:99:99-99:99", " 2024-01-02T03:04:05Z"]
+    for r in spark.createDataFrame([(t,) for t in dates_], "t string").select("t", M.parse_rfc3339("t").alias("d")).collect():
+        assert (r.d.asDict() if r.d else None) == (dates.parse_rfc3339(r.t) if r.t is not None else None), r
+    blobs = [b"aGVsbG8=", b"aGVs\r\nbG8=", b"", b"aGVsbG8", b"a*b", None, b"aGVsbG8=aGVsbG8=", b"YQ==", b"=", b"YQ=", b"====", b"AB==", b"ab\xff"]
+    for r in spark.createDataFrame([(b,) for b in blobs], "b binary").select("b", M.base64_decode("b").alias("d")).collect():
+        assert (bytes(r.d) if r.d is not None else None) == (decoders.base64_decode(bytes(r.b)) if r.b is not None else None), r
+
+
+def test_sources_report_what_they_cannot_read(spark, tmp_path):
+    from maildf.sources.maildir import _Files, _MaildirReader
+
+    for sub in ("cur", "new", "tmp"):
+        (tmp_path / sub).mkdir()
+    (tmp_path / "cur" / "1.h:2,S").write_bytes(b"Subject: moved\n\n")
+    reader = _MaildirReader({"path": str(tmp_path)})
+    rows = list(reader.read(_Files(None, [f"{tmp_path}/new/1.h", f"{tmp_path}/new/2.h"])))
+    assert rows[0][1] == f"{tmp_path}/cur/1.h:2,S" and rows[0][3] == ["Seen"] and rows[0][5] is None
+    assert rows[1][4] is None and "No such file" in rows[1][5]
+    with pytest.raises(OSError):
+        list(_MaildirReader({"path": str(tmp_path), "mode": "FAILFAST"}).read(_Files(None, [f"{tmp_path}/new/2.h"])))
+
+
+def test_json_both_ways(spark):
+    m = EmailParser().parse(spark.createDataFrame([(bytearray(MAIL),), (None,)], "raw binary"))
+    assert O.from_json(O.to_json(m)).collect() == m.collect()
+    with pytest.raises(ValueError, match="no mounted folder"):
+        O.write_attachments(O.attachments(m), "s3a://bucket/folder")
