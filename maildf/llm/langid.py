@@ -49,7 +49,7 @@ def features(text: str, dims: int = DIMS, step: int = 1 << 20) -> np.ndarray:
         skip = min(lo, 3)
         code = np.zeros(len(x), np.uint32)
         for n in range(1, 5):
-            code = code[1:] * np.uint32(0x01000193) + x[n - 1 :] if n > 1 else x.copy()
+            code = code[:-1] * np.uint32(0x01000193) + x[n - 1 :] if n > 1 else x.copy()
             fresh = code[max(0, skip - n + 1) :]  # n-grams that end in this block
             slot = ((fresh + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - dims.bit_length() + 1)
             total += np.bincount(slot, minlength=dims)
