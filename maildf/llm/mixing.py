@@ -28,18 +28,26 @@ def poisson_cdf(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["cdf"])).otherwise(F.array(F.lit(1.0)))
 
 
-def mix_sources(docs: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, exponent: float = 0.7, epochs: float = 1.0, seed: str = "mix") -> DataFrame:
+def name_of() -> Column:
+    """What a row draws by: its doc_id, or without one a hash of its text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text)))
+
+
+def mix_sources(docs: DataFrame, scratch: Scratch, targets: dict[str, float] | None = None, exponent: float = 0.7, epochs: float = 1.0, seed: str = "mix", named: Column | None = None) -> DataFrame:
     """Replicate each row a Poisson number of times so that sources meet their target weights.
 
     The mean repetition rate of a source is its target weight times ``epochs`` times all rows, over
     the source's rows. ``targets`` gives weights; without it a source of n rows weighs n ** exponent.
     A row's count inverts the Poisson distribution at a number hashed from ``seed`` and doc_id, so a
-    rerun or a retried task draws the same counts. The copies are then shuffled over the whole
+    rerun or a retried task draws the same counts; ``named`` is a text that stands for doc_id there, by default
+    ``name_of()``. The copies are then shuffled over the whole
     result: dealt to partitions by a hash of ``mix_key`` and sorted by it there.
 
     Added columns: ``copy`` (from 1), ``rate``, ``mix_key``; inputs of those names are replaced.
-    Null source is a source of its own, a null doc_id hashes as the word ``null``, repeated rows
-    draw the same count, null or empty text changes nothing, an empty table gives no rows.
+    Null source is a source of its own, a null doc_id draws by a hash of the text, repeated rows draw the same
+    count, null or empty text changes nothing, texts of any length are carried whole, an empty table gives
+    no rows.
     """
     added = ("copy", "rate", "mix_key", "_mix_source", "_mix_n")
     docs = docs.drop(*added).withColumn("_mix_source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
@@ -54,7 +62,7 @@ def mix_sources(docs: DataFrame, scratch: Scratch, targets: dict[str, float] | N
     rows, all_w = n.agg(F.sum("_mix_n"), F.sum("_w")).first()
     rate = F.col("_w") / F.lit(float(all_w or 1.0)) * F.lit(float(epochs * (rows or 0))) / F.col("_mix_n")
     n = scratch.table(n.withColumn("rate", rate).withColumn("_cdf", poisson_cdf(F.col("rate"))).drop("_w"), "rates")
-    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    id_ = name_of() if named is None else named
     drawn = lookup(docs, n, "_mix_source", "_mix_n").withColumn("_u", uniform(F.lit(seed), id_))
     count = F.size(F.filter("_cdf", lambda c: c < F.col("_u")))
     copies = drawn.withColumn("copy", F.explode(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))))

@@ -85,9 +85,9 @@ WITH n AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.7) AS w FROM do
 rates AS (SELECT source, w / (SELECT sum(w) FROM n) * (SELECT sum(n) FROM n)::DOUBLE / n AS rate FROM n),
 terms AS (SELECT source, rate, j, exp(-rate + j * ln(rate) - lgamma(j + 1)) AS p FROM rates, range(0, 400) AS r(j) WHERE j <= rate + 12 * sqrt(rate) + 30),
 cdf AS (SELECT source, j, sum(p) OVER (PARTITION BY source ORDER BY j) AS c FROM terms),
-u AS (SELECT *, (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
+u AS (SELECT *, (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
 k AS (SELECT u.*, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM u.source AND cdf.c < u.u) AS k FROM u)
-SELECT doc_id, text, lang, source, n_chars, c.copy::INTEGER AS copy, md5('mix:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || c.copy) AS mix_key
+SELECT doc_id, text, lang, source, n_chars, c.copy::INTEGER AS copy, md5('mix:order:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) || ':' || c.copy) AS mix_key
 FROM k, LATERAL (SELECT unnest(range(1, k.k + 1)) AS copy) AS c
 """
 

@@ -477,20 +477,32 @@ def test_binary_fuse(n):
 # -- 7 -----------------------------------------------------------------------------------------------
 
 
+def drawn(doc_id, text, rate):
+    """The Poisson count of a row, term by term."""
+    name = doc_id if doc_id is not None else "null:" + hashlib.md5((text or "").encode()).hexdigest()
+    u = (int(hashlib.md5(f"mix:{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    k, term, total = 0, np.exp(-rate), np.exp(-rate)
+    while total < u:
+        k += 1
+        term *= rate / k
+        total += term
+    return k
+
+
+def test_rows_without_id_draw_for_themselves(spark):
+    rows = [(None, f"text {i}", "en", "s") for i in range(2000)]
+    n = Counter(r.text for r in mixing.mix_sources(frame(spark, rows), Scratch(spark)).select("text").collect())
+    assert abs(sum(n.values()) - 2000) < 200 and len(set(n.values())) > 3
+
+
 def test_mixing(spark, docs):
     s = Scratch(spark)
     got = mixing.mix_sources(docs, s, targets={"hot": 1.0, "s0": 3.0}, epochs=4.0).collect()
     assert {r.source for r in got} <= {"hot", "s0"}
     by_row = Counter((r.doc_id, r.text) for r in got)
     repeats = Counter((r[0], r[1]) for r in corpus())
-    for row in {r.doc_id: r for r in got}.values():
-        u = (int(hashlib.md5(f"mix:{'null' if row.doc_id is None else row.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        k, term, total = 0, np.exp(-row.rate), np.exp(-row.rate)
-        while total < u:
-            k += 1
-            term *= row.rate / k
-            total += term
-        assert by_row[row.doc_id, row.text] == k * repeats[row.doc_id, row.text]
+    for row in {(r.doc_id, r.text): r for r in got}.values():
+        assert by_row[row.doc_id, row.text] == drawn(row.doc_id, row.text, row.rate) * repeats[row.doc_id, row.text]
     assert mixing.mix_sources(empty(spark), s).collect() == []
     assert set(mixing.mix_sources(docs, s).columns) == {*docs.columns, "rate", "mix_key"}
 
@@ -695,6 +707,43 @@ def test_licence_stretches_by_brute_force():
         assert index.stretches(t, index.shared(t)[1]) == want
 
 
+def test_language_id_by_brute_force(spark, docs):
+    """Features gram by gram and votes machine by machine give what the operator gives."""
+    model = langid.fit(docs)
+
+    def features(t):
+        raw = [c if c >= 128 or 97 <= c <= 122 else 32 for c in t.lower().encode()]
+        total = np.zeros(langid.DIMS)
+        for n in range(1, 5):
+            for i in range(len(raw) - n + 1):
+                code = raw[i]
+                for c in raw[i + 1 : i + n]:
+                    code = (code * 0x01000193 + c) % 2**32
+                total[((code + n) * 0x9E3779B1 % 2**32) >> 19] += 1
+        total = np.sqrt(total)
+        return total / (np.linalg.norm(total) or 1)
+
+    def winner(duel, x):
+        score = {c: [0, 0.0, np.inf] for c in duel.classes}
+        for (a, b), w in zip([(a, b) for i, a in enumerate(duel.classes) for b in duel.classes[i + 1 :]], duel.weights.astype(float), strict=True):
+            m = float(w[:-1] @ x + w[-1])
+            for c, s in ((a, m), (b, -m)):
+                score[c] = [score[c][0] + (s > 0), score[c][1] + s, min(score[c][2], s)]
+        best = max(sorted(score), key=lambda c: (score[c][0], score[c][1]))
+        return best, 1 / (1 + np.exp(-2 * score[best][2])) if len(score) > 1 else 1.0
+
+    got = {(r.doc_id, r.lang_pred): r.score for r in langid.identify(docs, model).collect()}
+    for doc_id, t, *_ in corpus():
+        if len(t or "") < 3000:
+            lang, p = "und", 0.0
+            if re.search("[a-z]", t or ""):
+                x = features(t)
+                family, p = winner(model.top, x)
+                lang, q = winner(model.within[family], x)
+                p *= q
+            assert abs(got[doc_id, lang] - p) < 1e-3
+
+
 # -- tokens and the pipeline -----------------------------------------------------------------------------
 
 
@@ -736,6 +785,34 @@ def test_pipeline(spark, tmp_path):
     assert Counter(r.doc_id for r in P.run(spark, str(tmp_path)).collect()) == Counter(r.doc_id for r in out["packing"])
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """The rows that each stage keeps, worked out one by one."""
+    import corpus_pipeline as P
+
+    rows = [(d, t, c, s, len(t or "")) for d, t, c, s in corpus()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [r for r in rows if re.search("[^\\W\\d_]", r[1] or "")]
+    best = {}
+    for i, r in enumerate(want):
+        key = re.sub(r"[\x20\x09-\x0D]", "", r[1])
+        best[key] = min(best.get(key, (0, True, 0, 0)), (-len(r[1]), r[0] is None, r[0] or 0, i))
+    want = [want[i] for i in sorted(b[-1] for b in best.values())]
+    links = list(brute_links([(i, r[1]) for i, r in enumerate(want)]))
+    want = [want[i] for i, first, *_ in links if i == first]
+    n = Counter(r[3] for r in want)
+    weight = {s: k**0.7 for s, k in n.items()}
+    rate = {s: weight[s] / sum(weight.values()) * len(want) / n[s] for s in n}
+    mixed = [r for r in want for _ in range(drawn(r[0], r[1], rate[r[3]]))]
+    docs, out = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in P.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        out[name] = docs.collect()
+    assert Counter(map(tuple, out["near_dedup"])) == Counter(want)
+    assert Counter(map(tuple, out["mixing"])) == Counter(mixed)
+    check_packing([(r[0], r[1]) for r in mixed], out["packing"])
+
+
 def test_pipeline_of_odd_tables(spark, tmp_path):
     """Columns that stages might use the names of come out as they were; an empty table passes through every stage."""
     import corpus_pipeline as P
