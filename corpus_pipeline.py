@@ -58,8 +58,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights."""
-    held = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
-    return mixing.mix_sources(held, _scratch(spark, sf_dir)).select(f"{ROW}.*")
+    held = docs.select("source", mixing.name_of().alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+    return mixing.mix_sources(held, _scratch(spark, sf_dir), named=F.col("doc_id")).select(f"{ROW}.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
