@@ -53,7 +53,7 @@ class InvertedFile:
             yield near, (self.x[near] * one).sum(axis=1)
 
 
-def search(vectors: DataFrame, asked: Column, scratch: Scratch, k: int = 20, pivots: int = 256, prefix: int = 128, read: int = 48, share: float = 0.1, block: int = 4096, most_lengths: int = 100) -> DataFrame:
+def search(vectors: DataFrame, asked: Column, scratch: Scratch, k: int = 20, pivots: int = 256, prefix: int = 128, read: int = 48, share: float = 0.12, block: int = 4096, most_lengths: int = 100) -> DataFrame:
     """The ``k`` nearest rows of each query row by inner product: query_id, rank, vec_id, score.
 
     ``asked`` is a condition on vec_id that marks queries. Queries and vectors meet in blocks of at
