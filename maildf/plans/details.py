@@ -360,11 +360,13 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 @query("SELECT conv_id, turn, 820631134 + turn AS internal_date, role || '@example.org' AS envelope_from, 'turn ' || turn AS subject, text AS body FROM conversations")
 def stored_mbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mail written to mbox files, read, parsed, put into JSON lines and read from them."""
+    """Mail written to mbox files, split once and stored, parsed, put into JSON lines and read from them."""
     mail = r"concat('From ', role, '@example.org ', date_format(timestamp_seconds(820631134 + turn), 'E MMM d HH:mm:ss yyyy'), '\nSubject: turn ', turn, '\nX-Conv: ', conv_id, '\n\n', regexp_replace(text, '(?m)^(>*From )', '>$1')) AS value"
     path = _folder(spark, "mbox")
     table(spark, sf_dir, "conversations").selectExpr(mail).write.text(path)
-    m = from_json(to_json(PARSER.parse(read_mbox(spark, f"{path}/part-*"))))
+    split = _folder(spark, "mail")
+    read_mbox(spark, f"{path}/part-*").write.parquet(split)
+    m = from_json(to_json(PARSER.parse(spark.read.parquet(split))))
     text = F.get(M.text_bodies("message"), F.lit(0))["text"]
     conv = F.trim(M.as_text(M.header("message", "X-Conv"))).cast("long")
     turn = F.substring_index(M.subject("message"), " ", -1).cast("long")
