@@ -280,6 +280,9 @@ def test_native_readers_agree_with_the_kernel(spark):
     dates_ = ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05.123-05:30", "2024-01-02T03:04:05+00:00", "2024-1-2T3:4:5Z", "2024-01-02T03:04:05", "x", None, "9999-99-99T99:99:99-99:99", " 2024-01-02T03:04:05Z"]
     for r in spark.createDataFrame([(t,) for t in dates_], "t string").select("t", M.parse_rfc3339("t").alias("d")).collect():
         assert (r.d.asDict() if r.d else None) == (dates.parse_rfc3339(r.t) if r.t is not None else None), r
+    mails = ["Mon, 5 Jan 1998 01:02:03 -0330", "15 FEB 0049 01:02:03 +0000", "1 Mar 0099 23:59:59 -0000", "1 Foo 2001 00:00:00 +0100", "1 Jan 2001 00:00:00 +9999", "1 Jan 2001 00:00:00 GMT", "1 Jan 2001 0:0 +0100 (x)", "", None, "31 dEc 2024 10:00:00 +0530 (IST)"]
+    for r in spark.createDataFrame([(t,) for t in mails], "t string").select("t", M.parse_rfc822("t").alias("d")).collect():
+        assert (r.d.asDict() if r.d else None) == (dates.parse_rfc822(r.t) if r.t is not None else None), r
     blobs = [b"aGVsbG8=", b"aGVs\r\nbG8=", b"", b"aGVsbG8", b"a*b", None, b"aGVsbG8=aGVsbG8=", b"YQ==", b"=", b"YQ=", b"====", b"AB==", b"ab\xff"]
     for r in spark.createDataFrame([(b,) for b in blobs], "b binary").select("b", M.base64_decode("b").alias("d")).collect():
         assert (bytes(r.d) if r.d is not None else None) == (decoders.base64_decode(bytes(r.b)) if r.b is not None else None), r
