@@ -11,7 +11,9 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -101,20 +103,24 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for b in batches:
-        for path, length, start, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if key != (path, length, start):
+        raw, places, heads = _lines(b.column("line"))
+        path, start = b.column("path"), b.column("start").to_numpy()
+        if not b.num_rows:
+            continue
+        new = np.append(True, (start[1:] != start[:-1]) | pa.compute.not_equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False))
+        cuts = np.append(np.flatnonzero(new | heads), b.num_rows)
+        for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            here = (path[lo].as_py(), b.column("size")[lo].as_py(), int(start[lo]))
+            if key != here:
                 if key is not None:
                     piece(False, at)
-                key, turn, at, begin, held = (path, length, start), 0, 0, None, []
-            if line.startswith(b"From "):
-                if begin is None:
-                    piece(False, 0)
-                else:
-                    piece(True, 0)
+                key, turn, at, begin, held = here, 0, 0, None, []
+            if heads[lo]:
+                piece(begin is not None, 0)
                 # a range that is not the first begins behind a byte of the line before
-                turn, begin = turn + 1, start + at + (start > 0)
-            held += [line, b"\n"]
-            at += len(line) + 1
+                turn, begin = turn + 1, here[2] + at + (here[2] > 0)
+            held.append(raw[places[lo] : places[hi]].tobytes())
+            at += int(places[hi] - places[lo])
             if size > 4 << 20:
                 yield send()
     if key is not None:
@@ -123,6 +129,16 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send()
 
 
+def _lines(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of lines with their newlines, where each line begins, and which are From_ lines."""
+    offsets = np.frombuffer(lines.buffers()[1], "<i4", len(lines) + 1, 4 * lines.offset).astype(np.int64)
+    places = offsets - offsets[0] + np.arange(len(offsets))
+    raw, stay = np.full(int(places[-1]), 10, np.uint8), np.ones(int(places[-1]), bool)
+    stay[places[1:] - 1] = False
+    raw[stay] = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return raw, places, pa.compute.starts_with(lines, b"From ").to_numpy(zero_copy_only=False)
+
+
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [next(mailbox.split_mbox(x.as_buffer())) for x in b.column("data")]
