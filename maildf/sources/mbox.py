@@ -11,15 +11,15 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..kernel import mailbox
 
+#: What ends a record: a newline and the From_ line behind it. So many files at most are read at once, as a row of each is broadcast.
+MARK, MOST_FILES = "\nFrom ", 1 << 20
 SCHEMA = "path string, seq long, internal_date long, envelope_from string, raw binary, error string"
 
 
@@ -64,89 +64,56 @@ def _binary(spark: SparkSession, path: str | list[str], recursive: bool) -> Data
 def read_mbox(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """Messages of mbox files of any size on any store that Spark reads: path, seq, internal_date, envelope_from, raw.
 
-    Spark's text reader deals ranges of lines; a range owns the messages that begin in it. Its last message may go
-    on in the ranges behind it, so the pieces around range ends, two or fewer a range, meet by file. ``seq`` grows
-    with the place of the From_ line in its file, and is that place in the first range.
+    Spark's text reader cuts files behind each newline that a From_ line follows, so that a record is a message, whole
+    even where it goes on in the next range. ``seq`` grows with the place of the message in its file.
     """
-    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", recursive)
-    lines = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
-    cut = lines.mapInArrow(_pieces, "path string, size long, start long, turn int, seq long, bytes long, whole boolean, data binary")
-    earlier = Window.partitionBy("path").orderBy("start", "turn")
-    # The reader ends a last line that had no end of its own.
-    extra = F.sum("bytes").over(Window.partitionBy("path")) - F.col("size")
-    ends = cut.filter("NOT whole").withColumns({"extra": extra, "last": F.lead("turn").over(earlier).isNull(), "group": F.count("seq").over(earlier)})
-    data = F.when(F.col("last") & (F.col("extra") == 1), F.expr("substring(data, 1, octet_length(data) - 1)")).otherwise(F.col("data"))
-    met = ends.filter("group > 0").groupBy("path", "group").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("start", "turn", data.alias("data")))).alias("pieces"))
-    met = met.select("path", "seq", F.aggregate("pieces", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("data"))
-    return cut.filter("whole").select("path", "seq", "data").unionByName(met).mapInArrow(_opened, SCHEMA.replace(", error string", ""))
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole messages of a range, and what lies before its first From_ line and from its last one on.
-
-    A range's last piece has the ``bytes`` of all of it.
-    """
-    names = ["path", "size", "start", "turn", "seq", "bytes", "whole", "data"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-    key, turn, at, begin, held, out, size = None, 0, 0, None, [], [], 0
+    reader = spark.read.option("lineSep", MARK).option("recursiveFileLookup", recursive)
+    records = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("data"))
+    # The last record of a file has no mark behind it, and so no newline that the mark took. It is in the last range that has any.
+    last = records.groupBy("path").agg(F.max("start").alias("last"))
+    if last.limit(MOST_FILES + 1).count() > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} files at once")
+    return records.join(F.broadcast(last), "path").mapInArrow(_messages, SCHEMA.replace(", error string", ""))
+
 
-    def piece(whole: bool, count: int) -> None:
-        nonlocal held, size
-        out.append((*key, turn, begin, count, whole, b"".join(held)))
-        size += len(out[-1][-1])
-        held = []
+def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, at, held, out = None, 0, None, []
+
+    def flush(final: bool) -> None:
+        nonlocal held
+        if held is not None:
+            out.extend((*held[:2], *m) for m in mailbox.split_mbox(held[2] + (b"" if final else b"\n")))
+            held = None
 
     def send() -> pa.RecordBatch:
-        nonlocal out, size
-        batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-        out, size = [], 0
+        batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["path", "seq", "internal_date", "envelope_from", "raw"])
+        out.clear()
         return batch
 
     for b in batches:
-        raw, places, heads = _lines(b.column("line"))
-        path, start = b.column("path"), b.column("start").to_numpy()
-        if not b.num_rows:
-            continue
-        new = np.append(True, (start[1:] != start[:-1]) | pa.compute.not_equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False))
-        cuts = np.append(np.flatnonzero(new | heads), b.num_rows)
-        for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-            here = (path[lo].as_py(), b.column("size")[lo].as_py(), int(start[lo]))
-            if key != here:
-                if key is not None:
-                    piece(False, at)
-                key, turn, at, begin, held = here, 0, 0, None, []
-            if heads[lo]:
-                piece(begin is not None, 0)
-                # a range that is not the first begins behind a byte of the line before
-                turn, begin = turn + 1, here[2] + at + (here[2] > 0)
-            held.append(raw[places[lo] : places[hi]].tobytes())
-            at += int(places[hi] - places[lo])
+        size = 0
+        for path, start, last, data in zip(*(b.column(n) for n in ("path", "start", "last", "data")), strict=True):
+            here = (path.as_py(), start.as_py(), last.as_py())
+            if here != key:
+                flush(key is not None and key[1] == key[2])
+                key, at = here, 0
+            flush(False)
+            raw = data.as_py()
+            # only the head of a file has its first From_ whole
+            head = b"" if here[1] == 0 and at == 0 else b"From "
+            # in a range that is not the first, a whole mark lies before the first record
+            held = (here[0], here[1] + at + len(MARK) * (here[1] > 0), head + raw)
+            at += len(raw) + len(MARK)
+            size += len(raw)
             if size > 4 << 20:
-                yield send()
-    if key is not None:
-        piece(False, at)
+                if out:
+                    yield send()
+                size = 0
+    flush(key is not None and key[1] == key[2])
     if out:
         yield send()
 
 
-def _lines(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of lines with their newlines, where each line begins, and which are From_ lines."""
-    offsets = np.frombuffer(lines.buffers()[1], "<i4", len(lines) + 1, 4 * lines.offset).astype(np.int64)
-    places = offsets - offsets[0] + np.arange(len(offsets))
-    raw, stay = np.full(int(places[-1]), 10, np.uint8), np.ones(int(places[-1]), bool)
-    stay[places[1:] - 1] = False
-    raw[stay] = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return raw, places, pa.compute.starts_with(lines, b"From ").to_numpy(zero_copy_only=False)
-
-
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [next(mailbox.split_mbox(x.as_buffer())) for x in b.column("data")]
-        if got:
-            date, sender, raw = zip(*got, strict=True)
-            yield pa.record_batch([b.column("path"), b.column("seq"), pa.array(date, pa.int64()), pa.array(sender, pa.string()), pa.array(raw, pa.binary())], ["path", "seq", "internal_date", "envelope_from", "raw"])
-
-
 def read_eml(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """One message a file: path, internal_date (modification time), raw."""
     return _binary(spark, path, recursive).select("path", F.unix_seconds("modificationTime").alias("internal_date"), F.col("content").alias("raw"))
