@@ -229,6 +229,12 @@ def test_separator_scan_stitches_ranges(spark, tmp_path, eod, width):
         assert got[i] == want
 
 
+def test_separator_scan_refuses_half_an_id(spark, tmp_path):
+    (tmp_path / "part-00000.bin").write_bytes(b"\x01\x00\x02")
+    with pytest.raises(Exception, match="beyond a multiple"):
+        separators.scan(separators.pieces(spark, str(tmp_path), 9), 9).collect()
+
+
 # -- 3 -----------------------------------------------------------------------------------------------
 
 
