@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,31 +47,40 @@ def from_json(df: DataFrame, json: str = "json", message: str = "message") -> Da
     return df.select(*[c for c in df.columns if c not in (json, message)], F.from_json(json, schema.MESSAGE).alias(message))
 
 
-def write_attachments(rows: DataFrame, path: str) -> DataFrame:
-    """Write each row's ``bytes`` below ``path`` under its ``attachment_name``: rows of (file, size).
+def write_attachments(rows: DataFrame, path: str, keep: Sequence[str] = (), spread: bool = False) -> DataFrame:
+    """Write each row's ``bytes`` below ``path`` under its ``attachment_name``: rows of (*keep, file, size).
 
     ``path`` is a folder that all machines mount; a store that only Spark reaches is an error. Names lose their directories and odd characters, and a digest
-    of the bytes keeps equal names apart, so that writing again after a lost task changes nothing.
+    of the bytes keeps equal names apart, so that writing again after a lost task changes nothing. ``spread`` deals files to 256 folders
+    by their digest, since a folder takes one new name at a time, whoever writes. Files have hidden names until they are whole.
     """
     base = path.removeprefix("file://").removeprefix("file:")
     if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", base):
         raise ValueError(f"{path} is no mounted folder")
+    source = rows.select(*[F.col(f"`{c}`") for c in keep], F.col("attachment_name").alias("__name"), F.col("bytes").alias("__bytes"))
+    out = source.drop("__name", "__bytes").withColumns({"file": F.lit(""), "size": F.lit(0).cast("long")}).schema
+    os.makedirs(base, exist_ok=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        os.makedirs(base, exist_ok=True)
+        made = set()
         for b in batches:
             done = []
-            for name, data in zip(b.column("attachment_name").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+            for name, data in ((n.as_py(), d.as_py()) for n, d in zip(*b.columns[-2:], strict=True)):
                 safe = re.sub(r"[^\w.-]+", "_", os.path.basename((name or "Untitled").replace("\\", "/"))).lstrip(".") or "Untitled"
-                target = os.path.join(base, f"{hashlib.sha256(data or b'').hexdigest()[:16]}-{safe[-150:]}")
-                part = f"{target}.{os.getpid()}.part"
+                digest = hashlib.sha256(data or b"").hexdigest()[:16]
+                folder = os.path.join(base, digest[:2]) if spread else base
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                target = os.path.join(folder, f"{digest}-{safe[-150:]}")
+                part = os.path.join(folder, f".{uuid.uuid4().hex}.part")
                 with open(part, "wb") as f:
                     f.write(data or b"")
                 os.replace(part, target)
                 done.append((target, len(data or b"")))
             if done:
-                yield pa.record_batch([pa.array(c) for c in zip(*done, strict=True)], ["file", "size"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(c) for c in zip(*done, strict=True))], [*keep, "file", "size"])
 
-    return rows.select("attachment_name", "bytes").mapInArrow(run, "file string, size long")
+    return source.mapInArrow(run, out)

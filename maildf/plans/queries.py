@@ -116,12 +116,12 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("p_partkey", F.size(k).cast("long").alias("n_keywords"), F.try_element_at(k, F.lit(-1)).alias("last_keyword"), F.get(k, F.lit(0)).alias("first_keyword"))
 
 
-def document_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_mail(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, *keep: str) -> DataFrame:
     """Each document as plain text in Base64, as HTML in quoted-printable, and attached under an RFC 2231 name."""
-    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    d = (table(spark, sf_dir, "documents") if docs is None else docs).withColumn("text", F.coalesce("text", F.lit("")))
     return rendered(
         d,
-        ["doc_id"],
+        ["doc_id", *keep],
         "concat('Subject: Re: [', source, '] Fwd: document ', doc_id, ' (fwd)')",
         "'MIME-Version: 1.0'",
         "'Content-Type: multipart/mixed; boundary=\"outer b\"'",

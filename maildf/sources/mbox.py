@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..kernel import mailbox
+from .files import read_files
 
 #: What ends a record: a newline and the From_ line behind it. So many files at most are read at once, as a row of each is broadcast.
 MARK, MOST_FILES = "\nFrom ", 1 << 20
@@ -57,10 +58,6 @@ def _rows(batch: pa.RecordBatch, i: int, held: list[tuple], names: list[str]) ->
     return pa.RecordBatch.from_arrays([*(c.take(again) for c in batch.columns[:-1]), pa.array(seq, pa.int64()), pa.array(date, pa.int64()), pa.array(sender, pa.string()), pa.array(raw, pa.binary())], names)
 
 
-def _binary(spark: SparkSession, path: str | list[str], recursive: bool) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-
-
 def read_mbox(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """Messages of mbox files of any size on any store that Spark reads: path, seq, internal_date, envelope_from, raw.
 
@@ -116,7 +113,7 @@ def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_eml(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """One message a file: path, internal_date (modification time), raw."""
-    return _binary(spark, path, recursive).select("path", F.unix_seconds("modificationTime").alias("internal_date"), F.col("content").alias("raw"))
+    return read_files(spark, path, recursive).select("path", "internal_date", "raw")
 
 
 @dataclass

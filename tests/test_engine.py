@@ -307,3 +307,49 @@ def test_json_both_ways(spark):
     assert O.from_json(O.to_json(m)).collect() == m.collect()
     with pytest.raises(ValueError, match="no mounted folder"):
         O.write_attachments(O.attachments(m), "s3a://bucket/folder")
+
+
+def test_many_files_are_read_by_few_tasks(spark, tmp_path):
+    """As binaryFile sees them, but listed once and read by the thousand."""
+    for d in ("a", "b,c", "d/e", "k=1"):
+        (tmp_path / d).mkdir(parents=True)
+        for i in range(300):
+            (tmp_path / d / f"é {i}.eml").write_bytes(b"Subject: %d\n\n" % i)
+        (tmp_path / d / ".hidden").write_bytes(b"no")
+        (tmp_path / d / "_hidden").write_bytes(b"no")
+    top = str(tmp_path)
+    for path, deep in ((top, True), (f"{top}/d", False), (f"{top}/a", False), (f"{top}/*/*.eml", False), (f"{top}/{{a,d/e}}/*.eml", False), ([f"{top}/b,c", f"{top}/a/é 1.eml"], False)):
+        got = sources.read_files(spark, path, deep)
+        want = spark.read.format("binaryFile").option("recursiveFileLookup", deep).load(path)
+        assert sorted(got.select("path", "internal_date", "size", "raw").collect()) == sorted(want.select("path", F.unix_seconds("modificationTime"), "length", "content").collect()), path
+        bare = sources.read_files(spark, path, deep, contents=False).collect()
+        assert sorted((r.path, r.size, r.raw) for r in bare) == sorted((r.path, r.length, None) for r in want.collect())
+    assert sources.read_eml(spark, top, recursive=True).rdd.getNumPartitions() <= 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        sources.read_eml(spark, f"{top}/nothing").count()
+
+
+def test_attachments_are_spread_over_folders(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id", "concat('n', id % 100, '.bin') AS attachment_name", "encode(cast(id % 100 AS string), 'UTF-8') AS bytes")
+    done = O.write_attachments(rows, f"{tmp_path}/out", ["id"], spread=True).collect()
+    assert sorted(r.id for r in done) == list(range(200)) and len({r.file for r in done}) == 100
+    assert all(open(r.file).read() == str(r.id % 100) and os.path.basename(r.file).startswith(os.path.basename(os.path.dirname(r.file))) for r in done)
+    assert not [f for _, _, names in os.walk(tmp_path) for f in names if f.endswith(".part")]
+
+
+def test_stored_attachments_go_in_waves(spark, tmp_path, monkeypatch):
+    """Equal rows, rows without an id and negative ids too; no file outlives its wave."""
+    from maildf.plans import details
+
+    docs = [(i, "word é " * i, "s") for i in range(60)] + [(3, "same", "s"), (3, "same", "s"), (None, "none", "s"), (None, "none", "s"), (-5, "less", None), (100, None, "t")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    made, folder = [], details._folder
+    monkeypatch.setattr(details, "_folder", lambda s, name: made.append(folder(s, name)) or made[-1])
+    monkeypatch.setattr(details, "WAVE", 4096, raising=False)
+    run, sql = Q.REGISTRY["stored_attachments"]
+    got = Counter(map(tuple, run(spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == Counter(db.execute(sql).fetchall())
+    files = [p for p in made if "maildf-eml-" in p or "maildf-files-" in p]
+    assert len(files) > 4 and not any(names for p in files for _, _, names in os.walk(p.removeprefix("file://")))
